@@ -34,8 +34,8 @@ def _rules_sql() -> str:
     return f"""
 with d as (select doc_id, coalesce(text, '') t from documents),
 w as (select doc_id, t,
-        list_filter(regexp_split_to_array(t, '[\\x09-\\x0D\\x20]+'), x -> x <> '') ws,
-        list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x09-\\x0D\\x20]')) ls from d),
+        list_filter(regexp_split_to_array(t, '[\\x09-\\x0D\\x20]+'), lambda x: x <> '') ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x09-\\x0D\\x20]')) ls from d),
 g as (select doc_id, i, array_to_string(ws[i:i + 4], ' ') k from (select doc_id, ws, unnest(range(1, len(ws) - 3)) i from w)),
 r as (select doc_id, count(distinct p) n from (
         select doc_id, unnest(range(i, i + 5)) p from (select doc_id, i, count(*) over (partition by doc_id, k) c from g) where c > 1)
@@ -45,7 +45,7 @@ m as (select w.doc_id, len(ws)::bigint n_words,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint n_symbols,
         (len(ls) - len(list_distinct(ls)))::bigint n_dup_lines, len(ls)::bigint n_lines,
         coalesce(r.n, 0)::bigint n_repeat_words,
-        len(list_filter(ws, x -> lower(x) in ({stop})))::bigint n_stop_words,
+        len(list_filter(ws, lambda x: lower(x) in ({stop})))::bigint n_stop_words,
         greatest(len(ws), 1)::double n1
       from w left join r on r.doc_id = w.doc_id),
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words base_failed from m)
