@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontaminate import contamination
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS, quality_rules
 
 
@@ -53,9 +54,40 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DECONTAMINATE_SQL = f"""
+with d as (select doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+b as (select item_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+bw as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') s
+       from (select item_id, ws, least(10, len(ws)) k, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) i from b where len(ws) > 0)),
+ks as (select distinct k from bw),
+dw as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') s
+       from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) i from d, ks)),
+o as (select doc_id, i, dw.k, item_id from dw join bw on dw.k = bw.k and dw.s = bw.s),
+h as (select doc_id, count(distinct p) n from (select doc_id, unnest(range(i, i + k)) p from o) group by doc_id),
+it as (select doc_id, count(*) n, string_agg(item, ',' order by item) items
+       from (select distinct doc_id, item_id::varchar item from o) group by doc_id)
+select d.doc_id, len(ws)::bigint n_words, coalesce(h.n, 0)::bigint n_hit, coalesce(it.n, 0)::bigint n_items,
+       sha256(coalesce(items, '')) items_sha256, coalesce(h.n, 0) > 0 contaminated
+from d left join h on h.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_quality_rules": op10_quality_rules}
+    return {"op7_decontaminate": op7_decontaminate, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": _rules_sql()}
+    return {"op7_decontaminate": _DECONTAMINATE_SQL, "op10_quality_rules": _rules_sql()}
