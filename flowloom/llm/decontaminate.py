@@ -153,14 +153,13 @@ def _joiner(shared, text_col: str):
                     spans[t] = [{"first": int(x), "end": int(y)} for x, y in zip(flips[::2], flips[1::2])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        part.column(1),
+                        *(part.column(c) for c in part.schema.names if c != text_col),
                         pa.array(words.counts()),
                         pa.array(total[words.bounds[1:]] - total[words.bounds[:-1]]),
                         pa.array(items, pa.list_(pa.string())),
                         pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
                     ],
-                    [*part.schema.names[:2], "n_words", "n_hit", "items", "spans"],
+                    [*(c for c in part.schema.names if c != text_col), "n_words", "n_hit", "items", "spans"],
                 )
 
     return join
@@ -189,16 +188,22 @@ def contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """Per row of df: id, n_words, n_hit, items (sorted names) and spans (hit word ranges)."""
+    """Per row of df: id, n_words, n_hit, items (sorted names) and spans (hit word ranges).
+
+    Columns named in ``carry`` come back in a struct column ``row``.
+    """
     spark: SparkSession = df.sparkSession
     small_batches(spark)
     # A hash of the text tells apart rows that repeat an id, when blocks are merged.
-    texts = df.select(F.col(id_col), F.xxhash64(text_col).alias("__key"), F.col(text_col).alias("__text"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    texts = df.select(F.col(id_col), F.xxhash64(text_col).alias("__key"), *row, F.col(text_col).alias("__text"))
     schema = T.StructType(
         [
             T.StructField(id_col, df.schema[id_col].dataType),
             T.StructField("__key", T.LongType()),
+            *([texts.schema["row"]] if carry else []),
             T.StructField("n_words", T.LongType()),
             T.StructField("n_hit", T.LongType()),
             T.StructField("items", T.ArrayType(T.StringType())),
@@ -244,13 +249,14 @@ def _merged(found: list[DataFrame], id_col: str) -> DataFrame:
         ).otherwise(F.concat(acc, F.array(s))),
     )
     hits = hits.select(F.col(id_col).alias("__id"), F.col("__key").alias("__k"), "items", union.alias("spans"))
-    rows = found[0].select(id_col, "__key", "n_words")
+    rows = found[0].drop("n_hit", "items", "spans")
     joined = rows.join(hits, rows[id_col].eqNullSafe(hits["__id"]) & (rows["__key"] == hits["__k"]), "left")
     empty_items = F.array().cast("array<string>")
     empty_spans = F.array().cast("array<struct<first:bigint,end:bigint>>")
     spans = F.coalesce("spans", empty_spans)
     return joined.select(
         id_col,
+        *(["row"] if "row" in rows.columns else []),
         "n_words",
         F.aggregate(spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"]).alias("n_hit"),
         F.coalesce("items", empty_items).alias("items"),

@@ -45,19 +45,23 @@ def _window_hashes(words: Column, n: Column) -> Column:
     )
 
 
-def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words and n_lines of each row.
 
     n_repeat_words counts words inside 5-word windows that occur twice or more,
     first occurrences included. Window hashes are compared first as a set, which
     settles most texts; only a text with a repeat sorts (hash, position) pairs,
-    finds equal neighbours and adds up the union of their windows.
+    finds equal neighbours and adds up the union of their windows. Columns named
+    in ``carry`` come back in a struct column ``row``.
     """
     text = F.coalesce(F.col("__t"), F.lit(""))
     words = F.col("__w")
     n = F.size(words)
-    base = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).select(
+    row = ["row"] if carry else []
+    given = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), *([F.struct(*carry).alias("row")] if carry else []))
+    base = given.select(
         "__id",
+        *row,
         F.length(F.translate(text, GAP_CHARS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, GAP_CHARS, "") != "").alias("__l"),
@@ -91,6 +95,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         lambda acc, x: acc + x.cast("long"),
     )
     return placed.select(
+        *row,
         F.col("__id").alias(id_col),
         F.size("__w").cast("long").alias("n_words"),
         "word_chars",
@@ -123,7 +128,7 @@ def verdict() -> tuple[Column, Column]:
     return failed, kept
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures, base_failed and kept of each row of df."""
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Measures, base_failed and kept of each row of df, with a struct ``row`` of the columns in ``carry``."""
     failed, kept = verdict()
-    return measures(df, id_col, text_col).withColumns({"base_failed": failed, "kept": kept})
+    return measures(df, id_col, text_col, carry).withColumns({"base_failed": failed, "kept": kept})

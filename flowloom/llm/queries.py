@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .line_dedup import LEAST_PAGES, RATIO, line_dedup
+from .mix_sources import MOST_COPIES, SEED, WEIGHTS, mix_sources
 from .near_duplicates import near_duplicates
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS, quality_rules
 
@@ -55,6 +57,26 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+_BARE = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
+_LINE_DEDUP_SQL = f"""
+with d as (select doc_id, source, text, string_split(text, chr(10)) ls from documents),
+l as (select distinct doc_id, source, {_BARE} k from (select doc_id, source, unnest(ls) x from d) where {_BARE} <> ''),
+t as (select source, count(*) n from documents group by 1),
+b as (select l.source, k from l join t on l.source is not distinct from t.source
+      group by l.source, k having count(*) >= {LEAST_PAGES} and count(*) > {RATIO}::double * any_value(n)),
+bs as (select source, list(k) ks from b group by 1),
+e as (select d.*, coalesce(ks, []) ks from d left join bs on d.source is not distinct from bs.source),
+k as (select doc_id, ls, text, list_filter(ls, lambda x: not list_contains(ks, {_BARE})) kept from e)
+select doc_id, coalesce(len(ls), 0)::bigint n_lines, coalesce(len(ls) - len(kept), 0)::bigint n_dropped,
+       case when text is null then null else array_to_string(kept, chr(10)) end "text"
+from k
+"""
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -90,13 +112,45 @@ from d left join h on h.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 """
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_MIX_SQL = f"""
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint size,
+        (('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / {2**52}::double u from documents),
+s as (select source, sum(size)::bigint z, {list(map(float, WEIGHTS))}[1 + (row_number() over (order by source is null, source) - 1) % {len(WEIGHTS)}]::double w
+      from d group by source),
+f as (select *, z::double * {MOST_COPIES} cap from s),
+lv as (select *, (sum(z) over ()::double - coalesce(sum(cap) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) lvl from f
+       window o as (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding)),
+wl as (select *, min(case when not cap / w < lvl then lvl end) over () water from lv),
+t as (select source, z, case when cap / w < lvl then cap else least(cap, water * w) end target from wl),
+p as (select *, case when z > 0 then floor(target / z) else 0 end whole from t),
+q as (select *, target - whole * z due from p),
+r as (select d.*, q.z, target, whole, due, case when z > 0 then due / z else 0 end sc from d join q on d.source is not distinct from q.source),
+k as (select *, case when sc >= 1 then 0.0 when sc <= 0 then 'inf'::double else (u / (1 - u)) / (sc / (1 - sc)) end rk from r),
+c as (select *, coalesce(sum(size) over (partition by source order by rk, doc_id, size rows between unbounded preceding and 1 preceding), 0) so_far from k)
+select doc_id, size, z source_size, target,
+       ((whole + case when rk < 'inf'::double and so_far + size / 2.0::double <= due then 1 else 0 end) * size)::bigint taken
+from c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
         "op7_decontaminate": op7_decontaminate,
+        "op8_mix_sources": op8_mix_sources,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": _DECONTAMINATE_SQL, "op10_quality_rules": _rules_sql()}
+    return {
+        "op1_line_dedup": _LINE_DEDUP_SQL,
+        "op7_decontaminate": _DECONTAMINATE_SQL,
+        "op8_mix_sources": _MIX_SQL,
+        "op10_quality_rules": _rules_sql(),
+    }
