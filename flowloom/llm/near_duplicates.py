@@ -6,12 +6,16 @@
 2. Class registers are cut into bands. A band value shared by several classes is
    a bucket; every member is paired with the bucket's least member only.
 3. A pair goes on if size bounds allow the similarity and the joint likelihood
-   estimate is within ``ESTIMATE_MARGIN`` of it (six standard deviations), and is
+   estimate is within ``ESTIMATE_MARGIN`` of it (four standard deviations), and is
    then decided on both full sets.
 4. Confirmed links give components. Only a bucket that still holds several
-   components can hide another link, and only between members of different
-   ones; those pairs pass through step 3, and components are formed again. So no
-   bucket is capped and a bucket of copies costs one pair for each member.
+   components can hide another link, and only between members of different ones.
+   Such buckets are paired with another, arbitrary member ``MORE_STARS`` times.
+5. What is still open is cut into tiles of bounded rows and bytes, a tile for
+   each two parts of a bucket. A tile estimates all pairs of different components
+   on registers, takes promising ones by falling agreement, verifies them on full
+   sets and skips those it has connected meanwhile, so that it gives at most one
+   link for each row. No bucket is capped, and no step writes a row a pair.
 
 Defined results: null and wordless texts have no set, ``n_shingles`` 0 and link
 with nothing. Rows that share an id count as one document and get its component.
@@ -37,7 +41,10 @@ from .scratch import Scratch, small_batches
 SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
-ESTIMATE_MARGIN = 0.2
+ESTIMATE_MARGIN = 0.13
+MORE_STARS = 2
+#: Rows and bytes of sets in a part of a bucket; a tile holds two parts.
+PART_ROWS, PART_BYTES = 256, 8 << 20
 #: Ids of documents to be verified are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -98,13 +105,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(-1, setsketch.REGISTERS)
 
 
+def _estimated(batch: pa.RecordBatch) -> np.ndarray:
+    a, b = _matrix(batch.column("regs_a")), _matrix(batch.column("regs_b"))
+    n, m = (np.asarray(batch.column(c)).astype(float) for c in ("n_a", "n_b"))
+    return setsketch.at_least(a, b, n, m, PERCENT / 100 - ESTIMATE_MARGIN)
+
+
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            a, b = _matrix(batch.column("regs_a")), _matrix(batch.column("regs_b"))
-            n, m = (np.asarray(batch.column(c)).astype(float) for c in ("n_a", "n_b"))
-            keep = setsketch.estimate(a, b, n, m) >= PERCENT / 100 - ESTIMATE_MARGIN
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(_estimated(batch)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +137,65 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if "regs_a" in batch.schema.names and batch.num_rows:
+            batch = batch.filter(pa.array(_estimated(batch)))
         left, right = batch.column("set_a"), batch.column("set_b")
         keep = [linked(np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64)) for i in range(batch.num_rows)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def tile_links(band: int, components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different components that connect whatever the rows' sets connect.
+
+    Two rows may meet in several bands; only the first band in which they agree decides on them.
+    """
+    root = {c: c for c in components.tolist()}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    rows, cols, guess = [], [], []
+    for i in range(len(sizes) - 1):
+        other = np.arange(i + 1, len(sizes))
+        near = 100 * np.minimum(sizes[i], sizes[other]) >= PERCENT * np.maximum(sizes[i], sizes[other])
+        other = other[near & (components[other] != components[i])]
+        if len(other):
+            own, size = np.broadcast_to(regs[i], (len(other), regs.shape[1])), np.full(len(other), float(sizes[i]))
+            other = other[setsketch.at_least(own, regs[other], size, sizes[other].astype(float), PERCENT / 100 - ESTIMATE_MARGIN)]
+            agree = (regs[other] == regs[i]).reshape(-1, setsketch.BANDS, setsketch.BAND_ROWS).all(axis=2)
+            other = other[np.argmax(agree, axis=1) == band]
+            rows.append(np.full(len(other), i))
+            cols.append(other)
+            guess.append((regs[other] == regs[i]).sum(axis=1))
+    out: list[tuple[int, int]] = []
+    if rows:
+        x, y, g = np.concatenate(rows), np.concatenate(cols), np.concatenate(guess)
+        for k in np.argsort(-g, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            a, b = find(components[i].item()), find(components[j].item())
+            if a != b and linked(sets[i], sets[j]):
+                root[a] = b
+                out.append((i, j))
+    return out
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    ids = table.column("id")
+    _, components = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
+    regs = _matrix(table.column("regs"))
+    sets = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
+    band = table.column("key")[0].as_py() >> (8 * setsketch.BAND_ROWS)
+    found = tile_links(band, components, regs, np.array([len(x) for x in sets]), sets)
+    take = lambda side: ids.take(pa.array([p[side] for p in found], pa.int64()))
+    return pa.table({"a": take(0), "b": take(1)})
+
+
+SIZED = f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)"
+
+
 class _Job:
     def __init__(self, df: DataFrame, id_col: str, text_col: str):
         self.spark = df.sparkSession
@@ -169,50 +233,80 @@ class _Job:
         self.members = self.scratch.write(shared, "members")
         self.scratch.drop("bands")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links: estimated on registers, decided on full sets."""
-        self.round += 1
-        k = self.round
-        side = lambda s: self.reps.select(F.col("id").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n").alias(f"n_{s}"))
-        both = self._schema(("a", self.id), ("b", self.id))
-        sized = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT)
-        hopeful = self.scratch.write(sized.mapInArrow(_promising, both).distinct(), f"hopeful-{k}")
-        asked = self.scratch.write(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))).distinct(), f"asked-{k}")
+    def side(self, table: DataFrame, s: str) -> DataFrame:
+        return table.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in table.columns])
+
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """(id, set) of the documents asked for, from their whole texts."""
+        asked = self.scratch.write(ids.distinct(), f"asked-{name}")
         few = asked.count() <= BROADCAST_IDS
         texts = self.texts.join(F.broadcast(asked) if few else asked, "id", "left_semi")
-        sets = self.scratch.write(
-            texts.mapInArrow(_sets, self._schema(("id", self.id), ("set", T.BinaryType()))).dropDuplicates(["id", "set"]), f"sets-{k}"
-        )
-        side = lambda s: sets.select(F.col("id").alias(s), F.col("set").alias(f"set_{s}"))
+        schema = self._schema(("id", self.id), ("set", T.BinaryType()))
+        sets = self.scratch.write(texts.mapInArrow(_sets, schema).dropDuplicates(["id", "set"]), f"sets-{name}")
+        self.scratch.drop(f"asked-{name}")
+        return sets
+
+    def verified(self, pairs: DataFrame, known: DataFrame, name: str) -> DataFrame:
         before = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         small_batches(self.spark, 128)
-        links = self.scratch.write(hopeful.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verify, both), f"links-{k}")
+        joined = pairs.join(self.side(known, "a"), "a").join(self.side(known, "b"), "b")
+        if "n" in known.columns:
+            joined = joined.where(SIZED)
+        links = self.scratch.write(joined.mapInArrow(_verify, self.pair).distinct(), name)
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-        self.scratch.drop(f"sets-{k}", f"asked-{k}", f"hopeful-{k}")
         return links
 
     def link(self) -> DataFrame:
         """(node, component) of every document with a link to a different set."""
+        self.pair = self._schema(("a", self.id), ("b", self.id))
         star = self.members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        star = self.scratch.write(star, "star")
-        links = self.confirm(star)
-        first = self.scratch.write(components(links, self.scratch, "first"), "first")
-        grown = self.members.where("members > 2").join(first, F.col("id") == F.col("node"), "left")
-        grown = self.scratch.write(grown.select("key", "id", "n", "least", F.coalesce("component", "id").alias("component")), "grown")
-        mixed = grown.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = self.scratch.write(grown.where("id <> least").join(mixed, "key", "left_semi").select("key", "id", "n", "component"), "rest")
-        self.scratch.drop("members", "grown")
-        a, b = (rest.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "component")]) for s in "ab")
-        pairs = a.join(b, "key").where(
-            "id_a < id_b and component_a <> component_b and 100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % PERCENT
+        sized = star.join(self.side(self.reps, "a"), "a").join(self.side(self.reps, "b"), "b").where(SIZED)
+        hopeful = self.scratch.write(sized.mapInArrow(_promising, self.pair).distinct(), "hopeful")
+        sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), "star")
+        links = self.verified(hopeful, sets, "links-0")
+        self.scratch.drop("sets-star", "hopeful")
+        found = self.scratch.write(components(links, self.scratch, "first"), "found-0")
+        rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found, 0)
+        sets = self.sets(rest.select("id"), "rest")
+        known = self.scratch.write(self.reps.join(sets, "id"), "known")
+        self.scratch.drop("members", "buckets", "sets-rest")
+        for k in range(1, MORE_STARS + 1):
+            if rest.isEmpty():
+                break
+            hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("h"), "id", "component")).alias("hub"))
+            pairs = rest.join(hub, "key").where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
+            links = self.verified(pairs, known, f"links-{k}")
+            found = self.joined(found, links, f"found-{k}")
+            rest = self.open(rest.select("key", "id", "n"), found, k)
+        if not rest.isEmpty():
+            found = self.joined(found, self.tiled(rest, known), "found-tiles")
+        self.scratch.drop("known", "reps", "tiles")
+        return found
+
+    def joined(self, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        every = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return self.scratch.write(components(every, self.scratch, f"{name}-steps"), name)
+
+    def open(self, members: DataFrame, found: DataFrame, k: int) -> DataFrame:
+        """Members, with components, of buckets in which several components meet."""
+        placed = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
+        placed = self.scratch.write(placed, f"placed-{k}")
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        rest = self.scratch.write(placed.join(mixed, "key", "left_semi"), f"rest-{k}")
+        self.scratch.drop(f"placed-{k}", f"rest-{k - 1}")
+        return rest
+
+    def tiled(self, rest: DataFrame, known: DataFrame) -> DataFrame:
+        """Links found in tiles of the open buckets."""
+        parts = rest.groupBy("key").agg(
+            F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int").alias("parts")
         )
-        pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-        pairs = self.scratch.write(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-        more = self.confirm(pairs)
-        every = links.unionByName(more).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        out = self.scratch.write(components(every, self.scratch, "last"), "components")
-        self.scratch.drop("star", "pairs", "rest", "first", "reps", "buckets", "links-1", "links-2")
-        return out
+        spread = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        # A row of part p stands in the tiles (p, q) and (q, p) of all parts q, each named by its lower part first.
+        spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        spread = spread.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "id", "component")
+        rows = spread.join(known.select("id", "regs", "set"), "id").select("key", "lo", "hi", "id", "component", "regs", "set")
+        return self.scratch.write(rows.groupBy("key", "lo", "hi").applyInArrow(_tile, self.pair).distinct(), "tiles")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

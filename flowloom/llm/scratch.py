@@ -8,7 +8,11 @@ lost later costs a reread, never a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +57,23 @@ class Scratch:
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give executors this package, which their own Python path need not hold; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_flowloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="flowloom-")
+    archive = Path(folder) / "flowloom_package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, folder, True)
+    context._flowloom_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound an Arrow batch of whole texts; the default of 10,000 rows is for narrow tables."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

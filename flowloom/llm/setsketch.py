@@ -79,3 +79,19 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
     with np.errstate(divide="ignore", invalid="ignore"):
         like = same * np.log(np.maximum(1 - p - q, 1e-12)) + more * np.log(np.maximum(p, 1e-12)) + less * np.log(np.maximum(q, 1e-12))
     return j[np.arange(len(j)), np.argmax(like, axis=1)]
+
+
+def at_least(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the estimate reaches a similarity that both sizes allow.
+
+    The likelihood is concave, so its slope at the similarity tells on which side the estimate lies.
+    """
+    more = (left > right).sum(axis=1)
+    less = (left < right).sum(axis=1)
+    same = left.shape[1] - more - less
+    u = n_left / (n_left + n_right)
+    v = 1 - u
+    c, x, y = (BASE - 1) / BASE, u - v * similarity, v - u * similarity
+    p, q = np.maximum(_p(x), 1e-12), np.maximum(_p(y), 1e-12)
+    dp, dq = v * c / ((1 - x * c) * np.log(BASE)), u * c / ((1 - y * c) * np.log(BASE))
+    return same * (dp + dq) / np.maximum(1 - p - q, 1e-12) >= more * dp / p + less * dq / q
