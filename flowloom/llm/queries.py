@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .importance import importance_sample
+from .language_id import language_id
 from .line_dedup import LEAST_PAGES, RATIO, line_dedup
 from .mix_sources import MOST_COPIES, SEED, WEIGHTS, mix_sources
 from .near_duplicates import near_duplicates
@@ -81,6 +83,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -141,6 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_importance_sample": op5_importance_sample,
+        "op6_language_id": op6_language_id,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
         "op10_quality_rules": op10_quality_rules,
