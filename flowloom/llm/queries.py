@@ -14,6 +14,8 @@ from .mix_sources import MOST_COPIES, SEED, WEIGHTS, mix_sources
 from .near_duplicates import near_duplicates
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS, quality_rules
 
+from .toxicity import toxicity
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +81,10 @@ from k
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -150,6 +156,7 @@ from c
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_importance_sample": op5_importance_sample,
         "op6_language_id": op6_language_id,
