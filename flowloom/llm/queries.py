@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontaminate import contamination
 from .importance import importance_sample
 from .language_id import language_id
+from .language_model import lm_scores
 from .line_dedup import LEAST_PAGES, RATIO, line_dedup
 from .mix_sources import MOST_COPIES, SEED, WEIGHTS, mix_sources
 from .near_duplicates import near_duplicates
@@ -109,6 +110,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _DECONTAMINATE_SQL = f"""
 with d as (select doc_id, regexp_extract_all({_LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
@@ -162,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": op6_language_id,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix_sources": op8_mix_sources,
+        "op9_language_model": op9_language_model,
         "op10_quality_rules": op10_quality_rules,
     }
 
