@@ -10,8 +10,7 @@
    then decided on both full sets.
 4. Confirmed links give components. Only a bucket that still holds several
    components can hide another link, and only between members of different ones.
-   Such buckets are paired with another, arbitrary member ``MORE_STARS`` times.
-5. What is still open is cut into tiles of bounded rows and bytes, a tile for
+5. Such open buckets are cut into tiles of bounded rows and bytes, a tile for
    each two parts of a bucket. A tile estimates all pairs of different components
    on registers, takes promising ones by falling agreement, verifies them on full
    sets and skips those it has connected meanwhile, so that it gives at most one
@@ -42,7 +41,6 @@ SHINGLE_WORDS = 5
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 ESTIMATE_MARGIN = 0.13
-MORE_STARS = 2
 #: Rows and bytes of sets in a part of a bucket; a tile holds two parts.
 PART_ROWS, PART_BYTES = 256, 8 << 20
 #: Ids of documents to be verified are broadcast up to this many, and joined by shuffle beyond.
@@ -137,8 +135,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if "regs_a" in batch.schema.names and batch.num_rows:
-            batch = batch.filter(pa.array(_estimated(batch)))
         left, right = batch.column("set_a"), batch.column("set_b")
         keep = [linked(np.frombuffer(left[i].as_buffer(), U64), np.frombuffer(right[i].as_buffer(), U64)) for i in range(batch.num_rows)]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -250,8 +246,6 @@ class _Job:
         before = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         small_batches(self.spark, 128)
         joined = pairs.join(self.side(known, "a"), "a").join(self.side(known, "b"), "b")
-        if "n" in known.columns:
-            joined = joined.where(SIZED)
         links = self.scratch.write(joined.mapInArrow(_verify, self.pair).distinct(), name)
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
         return links
@@ -263,21 +257,13 @@ class _Job:
         sized = star.join(self.side(self.reps, "a"), "a").join(self.side(self.reps, "b"), "b").where(SIZED)
         hopeful = self.scratch.write(sized.mapInArrow(_promising, self.pair).distinct(), "hopeful")
         sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), "star")
-        links = self.verified(hopeful, sets, "links-0")
+        links = self.verified(hopeful, sets, "links")
         self.scratch.drop("sets-star", "hopeful")
-        found = self.scratch.write(components(links, self.scratch, "first"), "found-0")
-        rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found, 0)
+        found = self.scratch.write(components(links, self.scratch, "first"), "found")
+        rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found)
         sets = self.sets(rest.select("id"), "rest")
         known = self.scratch.write(self.reps.join(sets, "id"), "known")
         self.scratch.drop("members", "buckets", "sets-rest")
-        for k in range(1, MORE_STARS + 1):
-            if rest.isEmpty():
-                break
-            hub = rest.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.col("id"), F.lit(k)).alias("h"), "id", "component")).alias("hub"))
-            pairs = rest.join(hub, "key").where("component <> hub.component").select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
-            links = self.verified(pairs, known, f"links-{k}")
-            found = self.joined(found, links, f"found-{k}")
-            rest = self.open(rest.select("key", "id", "n"), found, k)
         if not rest.isEmpty():
             found = self.joined(found, self.tiled(rest, known), "found-tiles")
         self.scratch.drop("known", "reps", "tiles")
@@ -287,13 +273,13 @@ class _Job:
         every = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return self.scratch.write(components(every, self.scratch, f"{name}-steps"), name)
 
-    def open(self, members: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    def open(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Members, with components, of buckets in which several components meet."""
         placed = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        placed = self.scratch.write(placed, f"placed-{k}")
+        placed = self.scratch.write(placed, "placed")
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = self.scratch.write(placed.join(mixed, "key", "left_semi"), f"rest-{k}")
-        self.scratch.drop(f"placed-{k}", f"rest-{k - 1}")
+        rest = self.scratch.write(placed.join(mixed, "key", "left_semi"), "rest")
+        self.scratch.drop("placed")
         return rest
 
     def tiled(self, rest: DataFrame, known: DataFrame) -> DataFrame:
