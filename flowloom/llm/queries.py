@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .html_text import html_text
 from .importance import importance_sample
 from .language_id import language_id
 from .language_model import lm_scores
@@ -82,6 +83,10 @@ from k
 """
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -161,6 +166,7 @@ from c
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_html_text": op2_html_text,
         "op3_toxicity": op3_toxicity,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_importance_sample": op5_importance_sample,
