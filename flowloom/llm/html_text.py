@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 from .scratch import small_batches
 
 SAMPLE_PAGES, SAMPLE_CHARS = 240, 200_000
-PATH_DIM, WORD_DIM, HIDDEN = 96, 32, 16
+PATH_DIM, WORD_DIM, HIDDEN = 192, 32, 16
 EXTRA = 6
 INPUT = PATH_DIM + WORD_DIM + EXTRA
-EPOCHS, RATE, PAGES_A_STEP = 10, 0.02, 24
+EPOCHS, RATE, PAGES_A_STEP = 8, 0.02, 24
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|</?[a-zA-Z][^>]*+(?:>|\Z)", re.S
@@ -327,12 +327,25 @@ def furnished(source: str, k: int, words: list[str]) -> str:
     """A copy of a page with furniture k before and after its main part."""
     before, after = FURNITURE[k % len(FURNITURE)]
     early, late = FURNITURE[(k * 5 + 3) % len(FURNITURE)]
-    pick = " ".join(words[(k * 7) % max(len(words), 1) :][: 3 + k % 25])
+    pick = " ".join(words[(k * 7) % max(len(words), 1) :][: 3 + k * 13 % 60])
     body = re.search(r"<body[^>]*>", source)
     at = body.end() if body else 0
     end = source.find("</article>")
     end = end + len("</article>") if end >= 0 else len(source)
-    return source[:at] + early + pick + late + source[at:end] + before + pick + after + source[end:]
+    inside = source.find("</p>", at)
+    if k % 5 in (2, 3) and at <= inside < end:  # furniture can stand within the main part too
+        extra, done = FURNITURE[(k * 3 + 1) % len(FURNITURE)]
+        source = source[: inside + 4] + extra + pick + done + source[inside + 4 :]
+        end += len(extra) + len(pick) + len(done)
+    page = source[:at] + early + pick + late + source[at:end] + before + pick + after + source[end:]
+    # Some pages name their main part by a class only, are wrapped, or have no other furniture.
+    if k % 2:
+        page = page.replace("<body>", '<body><div class="page wrap">', 1).replace("<h1", "<h2").replace("</h1>", "</h2>")
+    if k % 3 == 1:
+        page = page.replace("<article", '<div class="post-content"').replace("</article>", "</div>")
+    if k % 4 == 2:
+        page = re.sub(r"<nav.*?</nav>|<footer.*?</footer>", "", page, flags=re.S)
+    return page
 
 
 def learn(sources: list[str]) -> Labeller:
@@ -341,7 +354,7 @@ def learn(sources: list[str]) -> Labeller:
     for k, source in enumerate(sources):
         plain = blocks(source)
         words = [w for b in plain for w in b.text.split()][:400]
-        for page in (plain, blocks(furnished(source, k, words))):
+        for page in (plain, *(blocks(furnished(source, 3 * k + j, words)) for j in range(3))):
             if page:
                 pages.append((features(page)[:400], taught(page)[:400]))
     if pages:
