@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 INLINE_BYTES = 4096
 
@@ -23,9 +25,14 @@ def add_saturating(a: Column, b: Column) -> Column:
     return F.when(a > F.lit(2**63 - 1) - b, F.lit(2**63 - 1)).otherwise(a + b)
 
 
+def base64_text(data: Column) -> Column:
+    """Base64 in one line; the built-in breaks lines every 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def payload_json(data: Column, encoding: Column, full: bool = False) -> Column:
     """Size and encoding always; the bytes in base64 if asked for in full or small."""
-    inline = F.when(F.lit(full) | (F.octet_length(data) <= INLINE_BYTES), F.base64(data))
+    inline = F.when(F.lit(full) | (F.octet_length(data) <= INLINE_BYTES), base64_text(data))
     return F.struct(F.octet_length(data).cast("bigint").alias("size"), encoding.alias("encoding"), inline.alias("data"))
 
 
@@ -64,7 +71,7 @@ def details(text: Column) -> Column:
 
 
 def cursor_encode(c: Column) -> Column:
-    return F.base64(F.encode(c, "UTF-8"))
+    return base64_text(F.encode(c, "UTF-8"))
 
 
 def cursor_decode(c: Column) -> Column:
@@ -127,11 +134,9 @@ def siphash13(data: bytes) -> int:
     return v[0] ^ v[1] ^ v[2] ^ v[3]
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(T.DecimalType(20, 0))
 def jitter_hash(job_id: pd.Series, attempt: pd.Series) -> pd.Series:
     """The hash that spreads retries: of the id's bytes, 0xFF, and the attempt as a little-endian word."""
-    from decimal import Decimal
-
     return pd.Series([Decimal(siphash13(j.encode() + b"\xff" + int(a).to_bytes(4, "little"))) for j, a in zip(job_id, attempt)])
 
 

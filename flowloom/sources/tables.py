@@ -105,7 +105,7 @@ def jobs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same view for the checking engine, as the head of a WITH.
 JOBS_SQL = """
 j0 as (select event_id, user_id, value, cast(event_id as varchar) job_id, event_type queue,
-         cast(json_extract_string(props, '$.k') as bigint) k, epoch_ms(ts) enq from events),
+         cast(json_extract_string(props, '$.k') as bigint) k, (epoch_us(ts) // 1000) enq from events),
 j1 as (select *, k % 10 priority, 1 + user_id % 3 max_attempts, 'u' || cast(user_id % 7 as varchar) job_type,
          case when event_id % 5 = 0 then enq + k * 60000 end sched,
          case when event_id % 4 = 0 then cast(user_id as varchar) || '-' || cast(k as varchar) end idem from j0),
@@ -167,7 +167,7 @@ def audit_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-AUDIT_SQL = """a as (select event_id + 1 seq, epoch_ms(ts) ts_ms, 'a' || cast(user_id % 5 as varchar) actor,
+AUDIT_SQL = """a as (select event_id + 1 seq, (epoch_us(ts) // 1000) ts_ms, 'a' || cast(user_id % 5 as varchar) actor,
   ['viewer', 'operator', 'admin'][user_id % 3 + 1] role, event_type || case when event_id % 2 = 0 then '.put' else '.delete' end "action", props details_json from events)"""
 
 
