@@ -11,8 +11,11 @@ Neighbours vote with weights 1 / (NEAR + 1 - cosine); votes become probabilities
 by monotone regression over the examples, each judged without itself and its
 copies, reweighted to the class sizes of all labelled rows.
 
-Fitting takes at most ``EXAMPLES`` labelled texts of each class, distinct ones
-first by a hash of their text; ids, languages and sources are not inputs.
+Fitting takes at most ``EXAMPLES`` labelled texts of each class, chosen by a hash
+of their id among twice as many. Of texts that share a minimum of their hashed
+5-word shingles under any of three hash functions one stays, so that a group of
+near copies does not pass for many examples. Ids, languages and sources are not
+inputs.
 
 Defined results: a null or wordless text, like one without any term, has no
 neighbours and gets the share of label 1 among examples without terms; without
@@ -29,14 +32,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bytetext import ALNUM, U64, Words, mix, slices
+from .bytetext import ALNUM, SPACED, U64, Words, mix, slices
 from .language_id import held_out
+from .near_duplicates import shingle_sets
 from .scratch import Scratch, small_batches
 
 EXAMPLES = 3000
 MOST_TERMS = 4096
-#: Least chi-square (one degree of freedom) and least share of either class that has the term.
-CHI_SQUARE, LEAST_SHARE, LEAST_TEXTS = 20.0, 0.015, 4
+#: A term's least chi-square (one degree of freedom), in all and for each example, and least share of either class.
+CHI_SQUARE, EFFECT, LEAST_SHARE, LEAST_TEXTS = 20.0, 0.006, 0.015, 4
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -86,15 +90,18 @@ class BlockMaxIndex:
         self.blocks = -(-len(vectors) // BLOCK)
         self.size = size
         self.top = np.zeros((size, max(self.blocks, 1)), np.float32)
-        lists: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for place, i in enumerate(self.ids.tolist()):
-            b = place // BLOCK
-            for t, w in zip(*(v.tolist() for v in vectors[i])):
-                self.top[t, b] = max(self.top[t, b], w)
-                lists.setdefault((t, b), []).append((place % BLOCK, w))
+        # The lists of a block, laid out as a small matrix: its own terms, in order, by its examples.
+        self.lists: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in range(self.blocks):
+            own = [vectors[i] for i in self.ids[b * BLOCK : (b + 1) * BLOCK].tolist()]
+            block_terms = np.unique(np.concatenate([t for t, _ in own]))
+            weights = np.zeros((len(block_terms), BLOCK))
+            for place, (t, w) in enumerate(own):
+                weights[np.searchsorted(block_terms, t), place] = w
+            self.lists.append((block_terms, weights))
+            self.top[block_terms, b] = weights.max(axis=1)
         # Bounds are rounded up, so that they never fall below a score.
         self.top = np.nextafter(self.top, np.float32(2)) * (self.top > 0)
-        self.lists = {k: (np.array([p for p, _ in v]), np.array([w for _, w in v])) for k, v in lists.items()}
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest by falling cosine, then by example; zero cosines never count."""
@@ -103,11 +110,10 @@ class BlockMaxIndex:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or (len(scores) >= k and bound[b] * (1 + 1e-6) < scores[k - 1]):
                 break
-            s = np.zeros(BLOCK)
-            for term, weight in zip(t.tolist(), w.tolist()):
-                hit = self.lists.get((term, b))
-                if hit is not None:
-                    s[hit[0]] += weight * hit[1]
+            block_terms, weights = self.lists[b]
+            at = np.minimum(np.searchsorted(block_terms, t), len(block_terms) - 1)
+            met = block_terms[at] == t
+            s = w[met] @ weights[at[met]]
             places = np.flatnonzero(s)
             own = self.ids[b * BLOCK + places]
             keep = own != without
@@ -188,6 +194,18 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, texts in slices(batch, "__text"):
+            mins = np.zeros((3, len(texts)), U64)
+            for i, s in enumerate(shingle_sets(Words(texts, SPACED, lower=True))):
+                for j in range(3):
+                    mins[j, i] = mix(s + U64(j + 1)).min() if len(s) else 0
+            yield pa.RecordBatch.from_arrays(
+                [part.column("k"), part.column("y"), *(pa.array(m.view(np.int64)) for m in mins)], ["k", "y", "m0", "m1", "m2"]
+            )
+
+
 def _frequency(shared):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
@@ -236,13 +254,15 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64(id_col, F.lit(7)), id_col).limit(2 * examples) for y in (0, 1)]
     ids = F.broadcast(first[0].unionByName(first[1]))
     rows = texts.where(F.col(id_col).isNotNull()).join(ids, id_col).select("__text", F.col("y").cast("int").alias("y"), F.xxhash64("__text").alias("k"))
-    rows = rows.mapInArrow(_example_terms, "k long, y int, term long, n long")
-    rows = scratch.write(rows, "terms")
-    keys = rows.select("k", "y").distinct().groupBy("k").agg(F.max("y").alias("y"))
-    keep = [keys.where(F.col("y") == y).orderBy(F.xxhash64("k")).limit(examples) for y in (0, 1)]
+    rows = scratch.write(rows, "rows")
+    keys = rows.mapInArrow(_signatures, "k long, y int, m0 long, m1 long, m2 long").groupBy("k").agg(F.max("y").alias("y"), *[F.min(m).alias(m) for m in ("m0", "m1", "m2")])
+    for m in ("m0", "m1", "m2"):  # at most 4 * examples rows
+        keys = keys.groupBy(m).agg(F.min_by(F.struct(*keys.columns), F.struct(-F.col("y"), "k")).alias("r")).select("r.*")
+    keep = [keys.where(F.col("y") == y).select("k", "y").orderBy(F.xxhash64("k")).limit(examples) for y in (0, 1)]
     keep = scratch.write(keep[0].unionByName(keep[1]), "examples")
-    chosen = rows.drop("y").join(F.broadcast(keep), "k").groupBy("k", "y", "term").agg(F.max("n").alias("n"))
-    chosen = scratch.write(chosen, "chosen")
+    chosen = rows.drop("y").join(F.broadcast(keep), "k").dropDuplicates(["k"])
+    chosen = scratch.write(chosen.select("__text", "y", "k").mapInArrow(_example_terms, "k long, y int, term long, n long"), "chosen")
+    scratch.drop("rows")
     held = {int(r["y"]): r["n"] for r in keep.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = held.get(0, 0), held.get(1, 0)
     share = {y: size.get(y, 0) / held[y] if held.get(y) else 0.0 for y in (0, 1)}
@@ -251,7 +271,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chi = total * F.pow(b * (n0 - a) - a * (n1 - b), 2) / (float(max(n0, 1)) * float(max(n1, 1)) * (a + b) * (total - a - b + 1e-9))
     by_term = chosen.groupBy("term").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b"))
     common = (b >= LEAST_SHARE * n1) | (a >= LEAST_SHARE * n0)
-    best = by_term.where(common & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
+    best = by_term.where(common & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= max(CHI_SQUARE, EFFECT * total))
     best = best.orderBy(F.col("chi").desc(), "term").limit(MOST_TERMS)
     vocab = np.sort(np.array([r["term"] for r in best.select("term").collect()] if n0 and n1 else [], np.int64).view(U64))
     shared = spark.sparkContext.broadcast(vocab)
