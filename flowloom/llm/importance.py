@@ -63,7 +63,7 @@ def _weigher(shared):
         for batch in batches:
             for part, texts in slices(batch, "__text"):
                 owner, bucket = grams(Words(texts, ALNUM, lower=True))
-                weight = np.bincount(owner, weights=table[bucket], minlength=len(texts))
+                weight = np.bincount(owner, weights=table[bucket], minlength=len(texts)).astype(np.float64)
                 n = np.bincount(owner, minlength=len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(weight)], [part.schema.names[0], "n_grams", "log_weight"])
 

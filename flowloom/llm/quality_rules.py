@@ -94,6 +94,9 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
         F.lit(0).cast("long"),
         lambda acc, x: acc + x.cast("long"),
     )
+    # A column that Catalyst takes for nondeterministic keeps filters on the measures above this
+    # projection: pushed below it, they would copy every array expression into each use of it.
+    barrier = F.monotonically_increasing_id() * 0
     return placed.select(
         *row,
         F.col("__id").alias(id_col),
@@ -103,7 +106,7 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carr
         "n_dup_lines",
         covered.alias("n_repeat_words"),
         "n_stop_words",
-        F.size("__l").cast("long").alias("n_lines"),
+        (F.size("__l").cast("long") + barrier).alias("n_lines"),
     )
 
 
