@@ -50,7 +50,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies:
         }
     )
     full = F.col("cap") / F.col("w") < F.col("level")
-    s = s.withColumn("water", F.min(F.when(~full, F.col("level"))).over(every))
+    # Sources below the first that is not full have no higher level, so the greatest is the level at which the words run out.
+    s = s.withColumn("water", F.max(F.when(~full, F.col("level"))).over(every))
     return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", F.col("water") * F.col("w"))).alias("target"))
 
 

@@ -150,7 +150,7 @@ s as (select source, sum(size)::bigint z, {list(map(float, WEIGHTS))}[1 + (row_n
 f as (select *, z::double * {MOST_COPIES} cap from s),
 lv as (select *, (sum(z) over ()::double - coalesce(sum(cap) over o, 0)) / (sum(w) over () - coalesce(sum(w) over o, 0)) lvl from f
        window o as (order by cap / w, source is null, source rows between unbounded preceding and 1 preceding)),
-wl as (select *, min(case when not cap / w < lvl then lvl end) over () water from lv),
+wl as (select *, max(case when not cap / w < lvl then lvl end) over () water from lv),
 t as (select source, z, case when cap / w < lvl then cap else least(cap, water * w) end target from wl),
 p as (select *, case when z > 0 then floor(target / z) else 0 end whole from t),
 q as (select *, target - whole * z due from p),
