@@ -88,6 +88,12 @@ def pin_path(name: Column, prefix: str) -> Column:
     return F.when(F.startswith(name, F.lit(f"{prefix}__")), F.replace(F.lower(F.substr(name, F.lit(len(prefix) + 3))), F.lit("__"), F.lit(".")))
 
 
+def exposition(name: Column, queue: Column, value: Column) -> Column:
+    """A sample line of the Prometheus text format; the label's quotes, backslashes and line ends are escaped."""
+    label = F.replace(F.replace(F.replace(queue, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    return F.concat(name, F.lit('{queue="'), label, F.lit('"} '), value.cast("string"))
+
+
 def redacted(keys: Column) -> Column:
     """Access keys without their secrets."""
     return F.transform(keys, lambda k: F.struct(k["name"].alias("name"), k["role"].alias("role")))

@@ -88,3 +88,11 @@ def nack_route(df: DataFrame, strategy: Column, delay: Column) -> DataFrame:
     route = F.when((strategy == "dead_letter") | spent, "dead_letter").when(delay > 0, "scheduled").otherwise("ready")
     cause = F.when(strategy == "dead_letter", "rejected").when(spent, "attempts_exhausted")
     return df.withColumns({"route": route, "cause": cause, "next_attempt": F.when(route == "dead_letter", F.col("attempt")).otherwise(F.col("attempt") + 1)})
+
+
+def keyed_dead_letters(keys: DataFrame, dead: DataFrame, done: str) -> DataFrame:
+    """keys (failed_at, queue, job_id, asked) with status: ``done`` if the record is there and its queue's own, else missing."""
+    known = dead.select(F.col("failed_at").alias("__at"), F.col("queue").alias("__queue"), F.col("job_id").alias("__id"))
+    same = (F.col("failed_at") == F.col("__at")) & (F.col("queue") == F.col("__queue")) & (F.col("job_id") == F.col("__id"))
+    ok = F.col("__id").isNotNull() & (F.col("asked") == F.col("queue"))
+    return keys.join(known, same, "left").withColumn("status", F.when(ok, done).otherwise("missing")).drop("__at", "__queue", "__id")

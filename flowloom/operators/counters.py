@@ -102,3 +102,10 @@ def purge_chunk(snapshot: DataFrame, dedup: DataFrame, queue: str, most: int) ->
     taken = rows.unionByName(keyed).orderBy("phase", "key").limit(most)
     busy = own.agg((F.count_if(F.col("state") == "inflight") > 0).alias("busy"))
     return taken.join(F.broadcast(busy), ~F.col("busy")).groupBy("phase").agg(F.count(F.lit(1)).alias("purged"))
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """events (event_id, at, event) with the attempt that each belongs to."""
+    before = Window.partitionBy("event_id").orderBy("at", "event").rowsBetween(Window.unboundedPreceding, -1)
+    ended = F.coalesce(F.sum((F.col("event") != "reserved").cast("int")).over(before), F.lit(0))
+    return events.withColumn("attempt", (1 + ended).cast("bigint"))

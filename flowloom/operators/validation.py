@@ -65,6 +65,15 @@ def with_limits(requests: DataFrame, registry: DataFrame, queue: str = "queue")
     return joined.withColumn("declared", F.col("__queue").isNotNull()).withColumns(limits).drop("__queue", *[f"__{c}" for c in own])
 
 
+def resolved_limits(jobs: DataFrame, boot: DataFrame, live: DataFrame, asked_attempts: Column) -> DataFrame:
+    """jobs with the limits that ride on their ops: dedup windows of the boot registry, all else of the live one."""
+    first = with_limits(jobs, boot).withColumn("boot_dedup_window_ms", F.col("lim_dedup_window_ms").cast("bigint"))
+    first = first.drop("declared", *[c for c in first.columns if c.startswith("lim_")])
+    both = with_limits(first, live)
+    attempts = F.least(F.coalesce(asked_attempts, F.col("lim_default_max_attempts")), F.col("lim_max_attempts_ceiling")).cast("bigint")
+    return both.withColumns({"resolved_max_attempts": attempts, "live_max_queue_depth": F.col("lim_max_queue_depth").cast("bigint")})
+
+
 def classify_enqueue(requests: DataFrame, registry: DataFrame, strict: bool, now: Column) -> DataFrame:
     """requests with reason (null if accepted), limit, actual and message.
 

@@ -628,6 +628,98 @@ def orders_topk(spark, sf_dir):
     return rk.reserve_top_k(jobs, 10).select("queue", "job_id", "place")
 
 
+# --- commands on known state, and smaller views -----------------------------------------------------
+
+
+@query(_jobs("""select event_id, least(coalesce(case when event_id % 3 = 0 then max_attempts * 60 end, l.default_max_attempts, 3), 100)::bigint max_attempts,
+coalesce(b.dedup_window_ms, 86400000)::bigint dedup_window_ms, l.max_queue_depth::bigint max_queue_depth
+from j left join r b on b.queue = j.queue left join (select * replace (case when queue = 'view' then 9 else max_queue_depth end as max_queue_depth) from r) l on l.queue = j.queue""", registry_sql()))
+def limits_of_two_registries(spark, sf_dir):
+    """Dedup windows are those at start-up; every other limit is the live one."""
+    boot = registry_view(spark)
+    live = boot.withColumn("max_queue_depth", F.when(F.col("queue") == "view", 9).otherwise(F.col("max_queue_depth")))
+    j = va.resolved_limits(jobs_view(spark, sf_dir), boot, live, F.when(F.col("event_id") % 3 == 0, F.col("max_attempts") * 60))
+    return j.select("event_id", F.col("resolved_max_attempts").alias("max_attempts"), F.col("boot_dedup_window_ms").alias("dedup_window_ms"), F.col("live_max_queue_depth").alias("max_queue_depth"))
+
+
+_KEYS_SQL = "k as (select failed_at + (event_id % 5 = 0)::bigint failed_at, queue, job_id, case when event_id % 7 = 0 then 'other' else queue end asked from s where state = 'dead_letter')"
+
+
+def _dead_keys(spark, sf_dir):
+    """Keys of all sample dead letters: some with a wrong time, some asked of another queue."""
+    dead = snapshot_view(spark, sf_dir).where("state = 'dead_letter'")
+    asked = F.when(F.col("event_id") % 7 == 0, "other").otherwise(F.col("queue"))
+    keys = dead.select((F.col("failed_at") + (F.col("event_id") % 5 == 0).cast("bigint")).alias("failed_at"), "queue", "job_id", asked.alias("asked"))
+    return dead, keys
+
+
+@query(_snap("""select k.job_id, k.asked, case when d.job_id is not null and k.asked = k.queue then 'requeued' else 'missing' end status, case when d.job_id is not null and k.asked = k.queue then 1705320000000 end::bigint enqueued_at_ms,
+case when d.job_id is not null and k.asked = k.queue then 1 end::bigint attempt from k left join (select * from s where state = 'dead_letter') d on d.failed_at = k.failed_at and d.queue = k.queue and d.job_id = k.job_id""", _KEYS_SQL))
+def requeue_dead_letters(spark, sf_dir):
+    """A requeued job begins anew, ready now with attempt 1, whatever caps or tombstones say."""
+    dead, keys = _dead_keys(spark, sf_dir)
+    hit = ad.keyed_dead_letters(keys, dead, "requeued")
+    ok = F.col("status") == "requeued"
+    return hit.select("job_id", "asked", "status", F.when(ok, F.lit(T0)).cast("bigint").alias("enqueued_at_ms"), F.when(ok, F.lit(1)).cast("bigint").alias("attempt"))
+
+
+@query(_snap("select k.asked, case when d.job_id is not null and k.asked = k.queue then 'deleted' else 'missing' end status, count(*) entries from k left join (select * from s where state = 'dead_letter') d on d.failed_at = k.failed_at and d.queue = k.queue and d.job_id = k.job_id group by 1, 2", _KEYS_SQL))
+def delete_dead_letters(spark, sf_dir):
+    dead, keys = _dead_keys(spark, sf_dir)
+    return ad.keyed_dead_letters(keys, dead, "deleted").groupBy("asked", "status").agg(F.count(F.lit(1)).alias("entries"))
+
+
+@query(_snap("select job_id, queue, attempt final_attempt, 'admin' cause from s where state in ('ready', 'scheduled') and event_id % 13 = 0"))
+def dead_letter_jobs(spark, sf_dir):
+    """Jobs an operator buries: only ready and scheduled ones can be, with the attempt they stand at."""
+    s = snapshot_view(spark, sf_dir).where("event_id % 13 = 0 and state in ('ready', 'scheduled')")
+    return s.select("job_id", "queue", F.col("attempt").alias("final_attempt"), F.lit("admin").alias("cause"))
+
+
+@query(_jobs("select event_id, reserved + 1000 + greatest(1, least(k * 1000 - 5000, coalesce(max_lease_ms, 300000)))::bigint lease_expires_at_ms from j left join r on r.queue = j.queue where done < lease_end", registry_sql()))
+def extend_leases(spark, sf_dir):
+    """A lease is extended from now, not from its end, so it may also become shorter."""
+    j = va.with_limits(jobs_view(spark, sf_dir).where("done < lease_end"), registry_view(spark))
+    lease = F.greatest(F.lit(1), F.least(F.col("k") * 1000 - 5000, F.col("lim_max_lease_ms")))
+    return j.select("event_id", (F.col("reserved") + 1000 + lease).cast("bigint").alias("lease_expires_at_ms"))
+
+
+@query(_jobs("select queue, count(*) filter (enq >= 1704600000000 and enq < 1704600000000 + 30000000) closing, count(*) jobs from j group by queue"))
+def closing_admission(spark, sf_dir):
+    """Enqueues that meet a tombstone; at its deadline the queue is open again."""
+    at, grace = 1_704_600_000_000, 30_000_000
+    shut = (F.col("enq") >= at) & (F.lit(at + grace) > F.col("enq"))
+    return jobs_view(spark, sf_dir).groupBy("queue").agg(F.count_if(shut).alias("closing"), F.count(F.lit(1)).alias("jobs"))
+
+
+_ATTEMPT_SQL = """o as (select event_id, reserved "at", 'reserved' event from j union all select event_id, done, 'nacked' from j where oc >= 6 and done < lease_end union all select event_id, lease_end, 'lapsed' from j where done >= lease_end)"""
+
+
+@query(_jobs("select event_id, \"at\", event, 1 + coalesce(sum((event <> 'reserved')::int) over (partition by event_id order by \"at\", event rows between unbounded preceding and 1 preceding), 0)::bigint attempt from o", _ATTEMPT_SQL))
+def attempt_numbers(spark, sf_dir):
+    """The attempt each event of a job belongs to: one more after every retry and lapsed lease."""
+    j = jobs_view(spark, sf_dir)
+    row = lambda at, event: F.struct(F.col(at).alias("at"), F.lit(event).alias("event"))
+    acted = F.col("done") < F.col("lease_end")
+    rows = F.filter(F.array(row("reserved", "reserved"), F.when((F.col("oc") >= 6) & acted, row("done", "nacked")), F.when(~acted, row("lease_end", "lapsed"))), lambda r: r.isNotNull())
+    return ct.attempts(j.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.*"))
+
+
+@query(f"with {AUDIT_SQL} select seq, actor, \"action\" from (select * from a where seq between 100 and 299 union select * from a where seq between 250 and 400) order by seq desc limit 200")
+def audit_live_tail(spark, sf_dir):
+    """Pages and the live tail as one list: each record once, newest first, the newest 200."""
+    a = audit_view(spark, sf_dir).select("seq", "actor", "action")
+    both = a.where("seq between 100 and 299").unionByName(a.where("seq between 250 and 400"))
+    return both.dropDuplicates(["seq"]).orderBy(F.col("seq").desc()).limit(200)
+
+
+@query(_jobs(f"""select 'jobs_' || event || '_total{{queue="' || queue || '"}} ' || n::varchar line from (select queue, event, count(*) n from o group by 1, 2)""", _OUTCOMES_SQL))
+def metrics_exposition(spark, sf_dir):
+    """Counters as lines of the text format that scrapers read."""
+    n = _outcomes(spark, sf_dir).groupBy("queue", "event").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(fn.exposition(F.concat(F.lit("jobs_"), F.col("event"), F.lit("_total")), F.col("queue"), F.col("n")).alias("line"))
+
+
 # --- replay ---------------------------------------------------------------------------------------
 
 
