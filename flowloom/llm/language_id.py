@@ -26,7 +26,7 @@ from .bytetext import LOWER, Texts, slices
 from .scratch import small_batches
 
 DIM = 4096
-SAMPLE_TOTAL = 3000
+SAMPLE_TOTAL = 2000
 EPOCHS = 12
 COST = 1.0
 #: ISO 639-1 codes by family. A language not listed is a family of its own.
@@ -193,9 +193,9 @@ def language_id(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, 2.0 * each / n + 20 / n))])
         few = named.where(F.pmod(F.col("h"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
         ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each)
-        rows = ranked.select("lang", "__text").mapInArrow(_featurise, "lang string, x binary").orderBy("lang", "x").collect()
-        x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, DIM)
-        model = Hierarchy(x, [r["lang"] for r in rows])
+        rows = ranked.select("lang", "__text").mapInArrow(_featurise, "lang string, x binary").orderBy("lang", "x").toArrow()
+        x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * DIM : (c.offset + len(c)) * DIM] for c in rows.column("x").chunks]).reshape(-1, DIM)
+        model = Hierarchy(x, rows.column("lang").to_pylist())
     shared = spark.sparkContext.broadcast(model)
     texts = df.select(F.col(id_col), held_out(id_col, 5, 0).alias("held_out"), F.col(text_col).alias("__text"))
     id_type = df.schema[id_col].dataType.simpleString()
