@@ -150,3 +150,24 @@ def jittered(capped: Column, hash_: Column) -> Column:
     """The delay less a part of at most a quarter."""
     quarter = F.floor(capped / 4).cast("decimal(20,0)")
     return (capped - F.when(quarter > 0, hash_ % (quarter + 1)).otherwise(F.lit(0)).cast("bigint")).cast("bigint")
+
+
+def payload_text(data: Column, encoding: Column) -> Column:
+    """A payload to look at: JSON in its canonical text, other UTF-8 as it is, and the first bytes in hexadecimal otherwise."""
+    text = F.try_validate_utf8(data.cast("string"))
+    parsed = F.to_json(F.try_parse_json(text))
+    return F.when(F.contains(F.lower(encoding), F.lit("json")) & parsed.isNotNull(), parsed).when(text.isNotNull(), text).otherwise(F.hex(F.substring(data, 1, INLINE_BYTES)))
+
+
+ROLES = ("viewer", "operator", "admin")
+
+
+def role_allows(role: Column, needed: Column) -> Column:
+    """Whether a role is at least the one needed; an unknown role allows nothing."""
+    rank = lambda c: F.array_position(F.array(*map(F.lit, ROLES)), c)
+    return (rank(role) > 0) & (rank(role) >= rank(needed))
+
+
+def key_allowed(keys: Column, key: Column) -> Column:
+    """Without a list of keys everyone is let in; with an empty one no one is."""
+    return F.when(keys.isNull(), F.lit(True)).otherwise(F.coalesce(F.array_contains(keys, key), F.lit(False)))

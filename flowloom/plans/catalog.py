@@ -19,6 +19,7 @@ from ..sources.tables import (
     AUDIT_SQL, JOBS_SQL, SNAPSHOT_SQL, T0, audit_view, jobs_view, payload_view, registry_sql, registry_view, snapshot_view,
 )
 from ..streaming.replay_stream import run_replay
+from ..streaming.sinks import stats_frames
 from .replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -572,6 +573,19 @@ def overview(spark, sf_dir):
     return joined.select("queue", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("ready", "live", "enqueued", "acked")])
 
 
+@query()
+def stats_frames_hourly(spark, sf_dir):
+    """The frames of the stats stream, a JSON text for each hour."""
+    return stats_frames(rates_hourly(spark, sf_dir))
+
+
+@query("select event_id, role_rank >= needed allowed from (select event_id, user_id % 3 role_rank, event_id % 3 needed from events)")
+def role_checks(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    role = lambda c: F.element_at(F.array(*map(F.lit, fn.ROLES)), (c % 3 + 1).cast("int"))
+    return e.select("event_id", fn.role_allows(role(F.col("user_id")), role(F.col("event_id"))).alias("allowed"))
+
+
 @query("""select user_id, event_type, count(*) events, min(ms) first_ms, max(ms) last_ms from (select *, sum(fresh) over (partition by user_id, event_type order by ms, event_id rows unbounded preceding) g
 from (select *, case when ms - lag(ms) over (partition by user_id, event_type order by ms, event_id) < 900000 then 0 else 1 end fresh from (select *, (epoch_us(ts) // 1000) ms from events))) group by user_id, event_type, g""")
 def activity_sessions(spark, sf_dir):

@@ -56,3 +56,29 @@ def test_classify(spark, change, reason, actual):
     registry = spark.createDataFrame([("ok", 5)], "queue string, max_queue_depth bigint").withColumn("allowed_encodings", F.lit(None).cast("array<string>")).withColumn("allowed_job_types", F.lit(None).cast("array<string>"))
     got = va.classify_enqueue(spark.createDataFrame([tuple(row.values())], schema), registry, False, F.lit(0)).first()
     assert (got["reason"], got["actual"]) == (reason, actual)
+
+
+def test_payload_text(spark):
+    df = spark.createDataFrame([(bytearray(b'{"b": 1}'), "application/json"), (bytearray("é".encode()), "text"), (bytearray(b"\xff\x00"), "text"), (bytearray(b"{"), "json")], "data binary, encoding string")
+    assert [r[0] for r in df.select(fn.payload_text(F.col("data"), F.col("encoding"))).collect()] == ['{"b":1}', "é", "FF00", "{"]
+
+
+def test_keys_and_roles(spark):
+    keys = lambda v: F.lit(None).cast("array<string>") if v is None else F.array(*map(F.lit, v)).cast("array<string>")
+    assert [one(spark, fn.key_allowed(keys(v), F.lit("k"))) for v in (None, [], ["k"], ["x"])] == [True, False, True, False]
+    assert [one(spark, fn.role_allows(F.lit(a), F.lit(b))) for a, b in (("admin", "viewer"), ("viewer", "admin"), ("x", "viewer"))] == [True, False, False]
+
+
+def test_frames_to_files(spark, sf_dir, tmp_path):
+    import json
+
+    from flowloom.plans import catalog
+    from flowloom.streaming.sinks import write_frames
+
+    frames = catalog.queries()["stats_frames_hourly"](spark, sf_dir)
+    n = frames.count()
+    frames.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frames.schema).parquet(str(tmp_path / "in"))
+    write_frames(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    back = spark.read.json(str(tmp_path / "out"))
+    assert back.count() == n and {"ts_ms", "queues"} == set(json.loads(back.first()["frame"]))
