@@ -43,7 +43,7 @@ PERCENT = 75
 ESTIMATE_MARGIN = 0.13
 #: Rows and bytes of sets in a part of a bucket; a tile holds two parts.
 PART_ROWS, PART_BYTES = 256, 8 << 20
-#: Ids of documents to be verified are broadcast up to this many, and joined by shuffle beyond.
+#: Ids of documents to be verified, and open buckets, are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
 
@@ -287,7 +287,10 @@ class _Job:
         parts = rest.groupBy("key").agg(
             F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int").alias("parts")
         )
-        spread = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        # A bucket's rows stay where they lie: with few open buckets their table goes to the rows.
+        parts = self.scratch.write(parts, "parts")
+        few = parts.count() <= BROADCAST_IDS
+        spread = rest.join(F.broadcast(parts) if few else parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
         # A row of part p stands in the tiles (p, q) and (q, p) of all parts q, each named by its lower part first.
         spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "id", "component")
