@@ -368,3 +368,18 @@ def test_lstm_gradient():
         down = loss()
         m.p["wf"][i, j] = old
         assert abs((up - down) / 2e-2 - grads["wf"][i, j]) < 1e-3
+
+
+def test_language_model_shares_add_up(spark, docs):
+    """One-word texts: the model's probabilities of every known token after a start, and one unseen share a class, make one."""
+    from flowloom.llm import language_model as lm
+
+    one = docs.where("doc_id < 60").select("doc_id", F.element_at(F.split("text", "[ \\t-\\r]+"), 1).alias("text")).where("text <> ''")
+    words = sorted({r["text"].translate(LOW) for r in one.collect()})
+    train = spark.createDataFrame([(11 + 0 * i, w) for i, w in enumerate(words)], "doc_id int, text string")  # id 11 is not held out
+    assert zlib.crc32(b"11") % 10
+    got = lm_scores(train).collect()
+    assert len(got) == len(words) and all(r["score"] < 0 and r["n_known"] == 2 for r in got)
+    known = sum(10 ** (r["score"]) for r in got)
+    assert known < 1  # each is a word and an end
+    assert lm.CLASSES <= 256
