@@ -7,7 +7,6 @@ cannot have one without the reader seeing whether it has the other.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import text as fn
 from ..operators import admission as ad, counters as ct, ranking as rk, validation as va
 from ..sources.sample_ops import sample_ops
+from ..sources.shared import shared_path, written
 from ..sources.tables import (
     AUDIT_SQL, JOBS_SQL, SNAPSHOT_SQL, T0, audit_view, jobs_view, payload_view, registry_sql, registry_view, snapshot_view,
 )
@@ -740,24 +740,24 @@ def metrics_exposition(spark, sf_dir):
 @query()
 def op_replay(spark, sf_dir):
     """Outcomes of the sample op log."""
-    return replay(sample_ops(spark, sf_dir))[0]
+    return replay(written(sample_ops(spark, sf_dir), "ops"))[0]
 
 
 @query()
 def op_replay_state(spark, sf_dir):
     """Rows of each state table and queue that the sample op log leaves."""
-    state = replay(sample_ops(spark, sf_dir))[1]
+    state = replay(written(sample_ops(spark, sf_dir), "ops"))[1]
     return state.groupBy("tbl", "queue").agg(F.count(F.lit(1)).alias("entries"), F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"))
 
 
 @query()
 def op_replay_stream(spark, sf_dir):
     """The same outcomes by a stream over the log in four ordered files."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints/flowloom').rstrip('/')}/replay-{uuid.uuid4().hex}"
-    cuts = sample_ops(spark, sf_dir).stat.approxQuantile("now_ms", [0.25, 0.5, 0.75], 0.01)
-    for k, (lo, hi) in enumerate(zip([float("-inf"), *cuts], [*cuts, float("inf")])):
-        part = sample_ops(spark, sf_dir).where((F.col("now_ms") >= lo) & (F.col("now_ms") < hi))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    root = shared_path(spark, "replay-stream")
+    ops = written(sample_ops(spark, sf_dir), "ops")
+    cuts = ops.stat.approxQuantile("now_ms", [0.25, 0.5, 0.75], 0.01)
+    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
+        ops.where((F.col("now_ms") >= lo) & (F.col("now_ms") < hi)).coalesce(1).write.mode("append").parquet(f"{root}/log")
         run_replay(spark, f"{root}/log", f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out")
 

@@ -77,12 +77,12 @@ def _couplings(ops: DataFrame) -> DataFrame:
 
 def components(ops: DataFrame) -> dict[str, str] | None:
     """Queue -> component for coupled queues; None if all queues are one component."""
-    drains = ops.where("kind = 'drain_dead_letters' and drain_dead_letters.queue is null")
+    drains = F.count_if((F.col("kind") == "drain_dead_letters") & F.col("drain_dead_letters.queue").isNull())
     jobs = F.when(F.col("kind") == "enqueue", F.size("enqueue.jobs")).when(F.col("kind") == "enqueue_atomic", F.size("enqueue_atomic.jobs")).otherwise(0)
     reserved = F.when(F.col("kind") == "reserve", F.col("reserve.max_jobs")).otherwise(0)
-    most, least = ops.agg(F.greatest(F.sum(jobs), F.sum(reserved)), F.min(F.when(F.col("kind") == "sweep", F.col("sweep.budget")))).first()
+    most, least, wide = ops.agg(F.greatest(F.sum(jobs), F.sum(reserved)), F.min(F.when(F.col("kind") == "sweep", F.col("sweep.budget"))), drains).first()
     # Any phase can have at most as many timers as jobs were enqueued or reserved.
-    if not drains.isEmpty() or (least is not None and least < (most or 0)):
+    if wide or (least is not None and least < (most or 0)):
         return None
     pairs = _couplings(ops).limit(MOST_COUPLINGS + 1).collect()
     if len(pairs) > MOST_COUPLINGS:
