@@ -1,9 +1,10 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
 Terms are words of the lower-cased text and their prefixes of 4 to 6 bytes, so
-that inflected forms meet. Of all terms those stay whose presence depends on the
-label in the examples (chi-square), each weighted by its document frequency over
-all texts. Examples are an inverted index in blocks; a block's greatest weight
+that inflected forms meet. Of all terms those stay whose presence weakly depends
+on the label in the examples (chi-square), each weighted by its document frequency
+over all texts. The cut is weak and does not rise with the examples, so that words
+of a language with few examples stay too. Examples are an inverted index in blocks; a block's greatest weight
 for each term bounds what any of its examples can score, so blocks are opened by
 falling bound until none can reach the k-th best: the k nearest are exact.
 
@@ -38,9 +39,10 @@ from .near_duplicates import shingle_sets
 from .scratch import Scratch, small_batches
 
 EXAMPLES = 3000
-MOST_TERMS = 4096
-#: A term's least chi-square (one degree of freedom), in all and for each example, and least share of either class.
-CHI_SQUARE, EFFECT, LEAST_SHARE, LEAST_TEXTS = 20.0, 0.006, 0.015, 4
+#: Holds the index within the driver's memory.
+MOST_TERMS = 65_536
+#: A term's least chi-square (one degree of freedom) and least examples.
+CHI_SQUARE, LEAST_TEXTS = 5.0, 4
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
@@ -270,8 +272,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = float(max(n0 + n1, 1))
     chi = total * F.pow(b * (n0 - a) - a * (n1 - b), 2) / (float(max(n0, 1)) * float(max(n1, 1)) * (a + b) * (total - a - b + 1e-9))
     by_term = chosen.groupBy("term").agg(F.sum(1 - F.col("y")).alias("a"), F.sum("y").alias("b"))
-    common = (b >= LEAST_SHARE * n1) | (a >= LEAST_SHARE * n0)
-    best = by_term.where(common & (a + b >= LEAST_TEXTS)).withColumn("chi", chi).where(F.col("chi") >= max(CHI_SQUARE, EFFECT * total))
+    best = by_term.where(a + b >= LEAST_TEXTS).withColumn("chi", chi).where(F.col("chi") >= CHI_SQUARE)
     best = best.orderBy(F.col("chi").desc(), "term").limit(MOST_TERMS)
     vocab = np.sort(np.array([r["term"] for r in best.select("term").collect()] if n0 and n1 else [], np.int64).view(U64))
     shared = spark.sparkContext.broadcast(vocab)

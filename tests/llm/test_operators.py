@@ -291,6 +291,19 @@ def test_toxicity_of_held_out_texts(spark):
     assert table.get((0, 1), 0) <= 0.01 * (table[0, 0] + table.get((0, 1), 0))
 
 
+def test_toxicity_is_found_in_every_language(spark):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = toxicity(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    table = {(r["lang"], r["toxic"]): (r["hit"], r["n"]) for r in got.groupBy("lang", "toxic").agg(F.sum("predicted").alias("hit"), F.count("*").alias("n")).collect()}
+    for lang in ("en", "de", "fr", "es"):
+        hit, n = table[lang, 1]
+        assert hit >= 0.6 * n, table
+        hit, n = table[lang, 0]
+        assert hit <= 0.01 * n, table
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(4)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)
