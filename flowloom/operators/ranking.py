@@ -126,8 +126,8 @@ def audit_page(audit: DataFrame, before: int | None, limit: int, actor: str = ""
     return out.withColumn("next_before", F.when(F.col("rows") > F.col("stop"), F.col("stop_seq"))).drop("rows", "stop", "e", "stop_seq")
 
 
-def audit_numbers(events: DataFrame, order: str) -> DataFrame:
-    """Sequence numbers from 1 in insertion order, whatever the clock says.
+def audit_numbers(events: DataFrame, order: str, *ties: str) -> DataFrame:
+    """Sequence numbers from 1 in insertion order, whatever the clock says; ties decide between equal rows.
 
     A global order without one task over all rows: rows are counted per range of
     the order column, and ranks within a range are shifted by the ranges before.
@@ -145,7 +145,7 @@ def audit_numbers(events: DataFrame, order: str) -> DataFrame:
         rows.append((part, before))
         before += size
     shift = spark.createDataFrame(rows, "__range bigint, __before bigint")
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(order))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order, *ties))
     return ranged.join(F.broadcast(shift), "__range").withColumn("seq", F.col("__before") + place).drop("__range", "__before")
 
 

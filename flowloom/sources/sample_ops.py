@@ -4,20 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.ranking import audit_numbers
 from .tables import OP_KINDS, OPS, jobs_view
 
 HOUR = 3_600_000
 
 
 def _ops(df: DataFrame, kind: str, at: Column, code: int, body: Column) -> DataFrame:
-    # Time first, then the job and what happens to it: unique for up to 250,000 jobs.
-    seq = at * 1_000_000 + F.col("event_id") * 4 + code
     own = [(body if k == kind else F.lit(None)).cast(t).alias(k) for k, t in OP_KINDS.items()]
-    return df.select(seq.alias("seq"), seq.alias("cycle_id"), at.alias("now_ms"), F.lit(kind).alias("kind"), *own)
+    return df.select(at.alias("now_ms"), "event_id", F.lit(code).alias("code"), F.lit(kind).alias("kind"), *own)
 
 
 def sample_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = jobs_view(spark, sf_dir).where("event_id < 250000")
+    j = jobs_view(spark, sf_dir)
     none = lambda t: F.lit(None).cast(t)
     request = F.struct(
         F.col("queue").alias("queue"), F.col("job_type").alias("job_type"), none("struct<data:binary,encoding:string>").alias("payload"), F.col("idem").alias("idempotency_key"),
@@ -47,4 +46,6 @@ def sample_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
+    # Time first, then the job and what happens to it: a rank, so that any id gets a number of its own.
+    every = audit_numbers(every, "now_ms", "event_id", "code").withColumn("cycle_id", F.col("seq"))
     return every.select(*[c.split()[0] for c in OPS.split(", ")[:4]], *OP_KINDS)

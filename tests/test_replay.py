@@ -7,6 +7,7 @@ from test_fold import random_ops
 
 from flowloom.operators.fold import Fold
 from flowloom.plans.replay import components, replay
+from flowloom.sources.sample_ops import sample_ops
 from flowloom.sources.tables import OP_KINDS, OPS, read_ops, write_ops
 from flowloom.streaming.replay_stream import run_replay
 
@@ -66,3 +67,15 @@ def test_ops_round_trip_and_corrupt_records(spark, tmp_path):
     ops.selectExpr("* except (kind)", "'reserve' as kind").write.parquet(str(tmp_path / "bad"))
     with pytest.raises(Exception, match="corrupt op"):
         read_ops(spark, str(tmp_path / "bad")).count()
+
+
+def test_sample_ops_hold_every_event_under_its_own_number(spark, sf_dir, tmp_path):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 100")
+    far = events.selectExpr("event_id + 250000 as event_id", "* except (event_id)").select(*events.columns)
+    events.unionByName(far).unionByName(events.selectExpr("event_id + 5000000000 as event_id", "* except (event_id)").select(*events.columns)).write.parquet(str(tmp_path / "events.parquet"))
+    ops = sample_ops(spark, str(tmp_path)).cache()
+    n = events.count()
+    assert ops.where("kind = 'enqueue'").count() == 3 * n and ops.where("kind in ('ack', 'nack')").count() == 3 * n
+    assert ops.select("seq").distinct().count() == ops.count() > 9 * n
+    times = [r["now_ms"] for r in ops.orderBy("seq").select("now_ms").collect()]
+    assert times == sorted(times)
