@@ -84,6 +84,12 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def _raw_end(source: str, name: str, pos: int) -> int | None:
+    """Where the end tag of raw content from pos ends: its own only, tags named inside it are text."""
+    end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(source, pos)
+    return _TAG.match(source, end.start()).end() if end else None
+
+
 def blocks(source: str) -> list[Block]:
     """The leaf blocks of a page in order; scripts, styles, comments and the head hold none."""
     out: list[Block] = []
@@ -101,13 +107,17 @@ def blocks(source: str) -> list[Block]:
                 out.append(Block(text, path, linked))
         parts, linked = [], 0
 
-    for m in _TAG.finditer(source):
+    pos = 0
+    while (m := _TAG.search(source, pos)) is not None:
+        pos = m.end()
         name = m[2].lower() if m[2] else None
         if skip is not None:
-            if not (m[1] and name == skip) and not (skip == "head" and name == "body"):
+            if not m[1] and name in RAW:
+                pos = _raw_end(source, name, pos) or pos
+            if not (m[1] and name == skip) and name != "body":
                 continue
-            at, ended, skip = m.end(), skip, None
-            if ended != "head" or m[1]:
+            at, skip = m.end(), None
+            if m[1]:
                 continue
         if m.start() > at:
             piece = source[at : m.start()]
@@ -127,14 +137,15 @@ def blocks(source: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if name in RAW:
+        if name == "head":
             skip = name
-            if name != "head":
-                # Raw content ends at its own end tag only; tags named inside it are text.
-                end = re.compile(rf"</{re.escape(name)}[\s>/]", re.I).search(source, at)
-                if end is None:
-                    at = len(source)
-                    break
+            continue
+        if name in RAW:
+            end = _raw_end(source, name, pos)
+            if end is None:
+                at = len(source)
+                break
+            at = pos = end
             continue
         if name == "br":
             parts.append(" ") if parts else None

@@ -351,6 +351,14 @@ def test_blocks_of_a_page():
     assert ht.blocks("") == [] and [b.text for b in ht.blocks("plain <b>text")] == ["plain text"] and [b.text for b in ht.blocks("<p>a</p><p clas")] == ["a"]
 
 
+def test_raw_content_with_a_letter_after_less_than():
+    texts = lambda page: [b.text for b in ht.blocks(page)]
+    for script in ("for(i=0;i<n;i++){f()}", "if (a<b) {s='it'}", "x<y;t=\"'\""):
+        assert texts(f"<p>Top</p><script>{script}</script><p>Body isn't lost</p><script>g()</script>") == ["Top", "Body isn't lost"]
+        assert texts(f"<head><title>T</title><script>{script}</script></head><body><p>Body isn't lost</p>") == ["Body isn't lost"]
+    assert texts("<p>a</p><style>b") == ["a"]
+
+
 def test_html_text_of_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
