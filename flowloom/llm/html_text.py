@@ -13,7 +13,8 @@ and other blocks inherit from article-like or prose-like surroundings. Copies of
 these pages with furniture of kinds that they may lack (comments, sidebars,
 notices, forms, headers) are added, as ``FURNITURE`` lists it.
 
-Learning reads at most ``SAMPLE_CHARS`` of each sampled page; extraction reads all.
+Learning reads all blocks of the sampled pages, ``WINDOW`` at a time; extraction
+reads each page as one sequence.
 
 Defined results: a null or blockless html gives ``""``; unclosed, truncated and
 unknown tags are taken as browsers would roughly take them; repeated rows get
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .scratch import small_batches
 
-SAMPLE_PAGES, SAMPLE_CHARS = 240, 200_000
+SAMPLE_PAGES, WINDOW = 240, 400
 PATH_DIM, WORD_DIM, HIDDEN = 192, 32, 16
 EXTRA = 6
 INPUT = PATH_DIM + WORD_DIM + EXTRA
@@ -367,7 +368,8 @@ def learn(sources: list[str]) -> Labeller:
         words = [w for b in plain for w in b.text.split()][:400]
         for page in (plain, *(blocks(furnished(source, 3 * k + j, words)) for j in range(3))):
             if page:
-                pages.append((features(page)[:400], taught(page)[:400]))
+                x, y = features(page), taught(page)
+                pages += [(x[a : a + WINDOW], y[a : a + WINDOW]) for a in range(0, len(page), WINDOW)]
     if pages:
         model.fit(pages)
     return model
@@ -397,7 +399,7 @@ def html_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     rows = df.where(F.col(html_col).isNotNull()).select(F.xxhash64(url_col, html_col).alias("h"), F.col(html_col).alias("x"))
     # Ids of the sample first, so that only its own pages are sorted or sent.
     keys = rows.select("h").distinct().orderBy("h").limit(sample)
-    chosen = rows.join(F.broadcast(keys), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").select(F.substring("x", 1, SAMPLE_CHARS).alias("x"))
+    chosen = rows.join(F.broadcast(keys), "h", "left_semi").dropDuplicates(["h"]).orderBy("h").select("x")
     model = learn([r["x"] for r in chosen.collect()])
     pages = df.select(id_col, url_col, F.col(html_col).alias("__html"))
     kind = lambda c: df.schema[c].dataType.simpleString()

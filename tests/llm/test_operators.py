@@ -359,6 +359,15 @@ def test_raw_content_with_a_letter_after_less_than():
     assert texts("<p>a</p><style>b") == ["a"]
 
 
+def test_labeller_learns_from_the_end_of_long_pages(monkeypatch):
+    seen = []
+    monkeypatch.setattr(ht.Labeller, "fit", lambda self, pages: seen.extend(pages))
+    page = "<body><article>" + "<p>some words here.</p>" * 1000 + "</article><footer><p>the end</p></footer></body>"
+    ht.learn([page])
+    assert sum(len(x) for x, _ in seen) >= 4 * len(ht.blocks(page)) > 4000 and max(len(x) for x, _ in seen) <= ht.WINDOW
+    assert all(len(x) == len(y) for x, y in seen)
+
+
 def test_html_text_of_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     html = {r["page_id"]: r["html"] for r in pages.collect()}
