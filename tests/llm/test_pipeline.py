@@ -3,6 +3,7 @@
 import collections
 
 import corpus_pipeline as cp
+import pytest
 from test_operators import brute_components
 
 from flowloom.llm.decontaminate import contamination
@@ -11,19 +12,29 @@ from flowloom.llm.mix_sources import mix_sources
 from flowloom.llm.quality_rules import quality_rules
 
 
-def test_stages_in_order_with_their_columns(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+@pytest.fixture
+def kept(spark):
+    """Frames cached for one test only: other tests read the same files in the same session."""
+    held = []
+    yield lambda df: held.append(df.cache()) or held[-1]
+    for df in held:
+        df.unpersist()
+
+
+def test_stages_in_order_with_their_columns(spark, sf_dir, kept):
+    keep = kept
+    docs = keep(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     start = docs.columns
-    kept = cp.rules_stage(spark, docs, sf_dir).cache()
+    kept = keep(cp.rules_stage(spark, docs, sf_dir))
     good = {r["doc_id"] for r in quality_rules(docs).where("kept").collect()}
     assert kept.columns == start and {r["doc_id"] for r in kept.collect()} == good
-    cut = cp.lines_stage(spark, kept, sf_dir).cache()
+    cut = keep(cp.lines_stage(spark, kept, sf_dir))
     want = {r["doc_id"]: r["text"] for r in line_dedup(kept).collect() if r["text"].strip()}
     assert cut.columns == start and {r["doc_id"]: r["text"] for r in cut.collect()} == want
-    near = cp.near_stage(spark, cut, sf_dir).cache()
+    near = keep(cp.near_stage(spark, cut, sf_dir))
     one = {i for i, (_, c) in brute_components(want.items()).items() if i == c}
     assert near.columns == start and {r["doc_id"] for r in near.collect()} == one
-    clean = cp.benchmark_stage(spark, near, sf_dir).cache()
+    clean = keep(cp.benchmark_stage(spark, near, sf_dir))
     leaks = {r["doc_id"] for r in contamination(near, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").collect()}
     assert clean.columns == start and {r["doc_id"] for r in clean.collect()} == one - leaks
     mixed = cp.mix_stage(spark, clean, sf_dir).collect()
