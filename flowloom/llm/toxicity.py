@@ -46,6 +46,9 @@ CHI_SQUARE, LEAST_TEXTS = 5.0, 4
 PREFIXES = (4, 5, 6)
 NEIGHBOURS = 15
 BLOCK = 64
+#: Cells of the dense matrix of the queries searched at once, and what sums of single precision may be off.
+QUERY_CELLS = 1 << 20
+ROUNDING = 1e-5
 NEAR = 0.1
 #: Votes are drawn to the prior with the weight of so many neighbours at cosine 0.
 PRIOR_VOTES = 2.0
@@ -84,7 +87,13 @@ def counted(words: Words, vocab: np.ndarray | None = None) -> tuple[np.ndarray,
 
 
 class BlockMaxIndex:
-    """Examples as sparse unit vectors over ranked terms."""
+    """Examples as sparse unit vectors over ranked terms.
+
+    Queries are searched many at once. A block is opened for the queries whose bound
+    for it still reaches their k-th best, as one product of small dense matrices.
+    Whatever comes within rounding of the k-th best is then scored once more, each
+    pair by itself in double precision, so that results depend on the pair only.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int):
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
@@ -92,37 +101,79 @@ class BlockMaxIndex:
         self.blocks = -(-len(vectors) // BLOCK)
         self.size = size
         self.top = np.zeros((size, max(self.blocks, 1)), np.float32)
+        self.starts = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+        self.terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        self.weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         # The lists of a block, laid out as a small matrix: its own terms, in order, by its examples.
         self.lists: list[tuple[np.ndarray, np.ndarray]] = []
         for b in range(self.blocks):
             own = [vectors[i] for i in self.ids[b * BLOCK : (b + 1) * BLOCK].tolist()]
             block_terms = np.unique(np.concatenate([t for t, _ in own]))
-            weights = np.zeros((len(block_terms), BLOCK))
+            weights = np.zeros((len(block_terms), len(own)), np.float32)
             for place, (t, w) in enumerate(own):
                 weights[np.searchsorted(block_terms, t), place] = w
             self.lists.append((block_terms, weights))
             self.top[block_terms, b] = weights.max(axis=1)
-        # Bounds are rounded up, so that they never fall below a score.
-        self.top = np.nextafter(self.top, np.float32(2)) * (self.top > 0)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest by falling cosine, then by example; zero cosines never count."""
-        bound = w @ self.top[t] if len(t) else np.zeros(self.blocks)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(scores) >= k and bound[b] * (1 + 1e-6) < scores[k - 1]):
-                break
-            block_terms, weights = self.lists[b]
-            at = np.minimum(np.searchsorted(block_terms, t), len(block_terms) - 1)
-            met = block_terms[at] == t
-            s = w[met] @ weights[at[met]]
-            places = np.flatnonzero(s)
-            own = self.ids[b * BLOCK + places]
-            keep = own != without
-            ids, scores = np.concatenate([ids, own[keep]]), np.concatenate([scores, s[places][keep]])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-        return ids, np.minimum(scores, 1.0)
+
+    def search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest of each of n queries, by falling cosine, then by example.
+
+        A query is the rows of its owner number; zero cosines never count, and free places hold -1 and 0.
+        """
+        ids, cos = np.full((n, k), -1, np.int64), np.zeros((n, k))
+        if not self.blocks or not n:
+            return ids, cos
+        step = max(1, QUERY_CELLS // self.size)
+        cuts = np.searchsorted(owner, np.arange(0, n + step, step))
+        for j, a in enumerate(range(0, n, step)):
+            rows = slice(cuts[j], cuts[j + 1])
+            m = min(step, n - a)
+            ids[a : a + m], cos[a : a + m] = self._search(owner[rows] - a, term[rows], weight[rows], m, k)
+        return ids, cos
+
+    def _search(self, owner: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        asked = np.zeros((n, self.size), np.float32)
+        asked[owner, term] = weight
+        bound = asked @ self.top
+        scores = np.zeros((n, self.blocks * BLOCK), np.float32)
+        done = np.zeros((n, self.blocks), bool)
+
+        def open_(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, b])
+                block_terms, weights = self.lists[b]
+                scores[rows, b * BLOCK : b * BLOCK + weights.shape[1]] = asked[np.ix_(rows, block_terms)] @ weights
+            np.logical_or(done, wanted, out=done)
+
+        def kth() -> np.ndarray:
+            if scores.shape[1] <= k:
+                return np.zeros(n, np.float32)
+            return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+        # The most hopeful block of each query first, then the next ones, then all that can still matter.
+        for first in (1, 4, self.blocks):
+            at = np.argpartition(-bound, min(first, self.blocks) - 1, axis=1)[:, :first]
+            hopeful = np.zeros_like(done)
+            np.put_along_axis(hopeful, at, True, axis=1)
+            open_(hopeful & ~done & (bound > 0) & (bound * (1 + ROUNDING) + ROUNDING >= kth()[:, None]))
+        floor = np.maximum(kth() - ROUNDING, 0)
+        row, place = np.nonzero((scores > 0) & (scores >= floor[:, None]))
+        example = self.ids[place]
+        size = self.starts[example + 1] - self.starts[example]
+        first = np.concatenate([[0], np.cumsum(size)])
+        flat = np.repeat(self.starts[example] - first[:-1], size) + np.arange(first[-1])
+        exact = np.zeros((n, self.size))
+        exact[owner, term] = weight
+        products = exact[np.repeat(row, size), self.terms[flat]] * self.weights[flat]
+        found = np.add.reduceat(products, first[:-1]) if len(row) else np.zeros(0)
+        order = np.lexsort((example, -found, row))
+        row, example, found = row[order], example[order], found[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        ids, cos = np.full((n, k), -1, np.int64), np.zeros((n, k))
+        ids[row[keep], rank[keep]] = example[keep]
+        cos[row[keep], rank[keep]] = np.minimum(found[keep], 1.0)
+        return ids, cos
 
 
 def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +201,12 @@ class Voter:
         """examples: (id, label, ranks, occurrences); share: rows that an example of each label stands for."""
         self.vocab, self.idf = vocab, idf
         some = [e for e in examples if len(e[2])]
-        vectors = [self.vector(t, n) for _, _, t, n in some]
-        self.index = BlockMaxIndex(vectors, len(vocab))
+        size = np.array([len(e[2]) for e in some], np.int64)
+        owner = np.repeat(np.arange(len(some)), size)
+        ranks = np.concatenate([e[2] for e in some]) if some else np.zeros(0, np.int64)
+        weights = self.unit(owner, ranks, np.concatenate([e[3] for e in some]) if some else np.zeros(0), len(some))
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        self.index = BlockMaxIndex([(ranks[a:b], weights[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], len(vocab))
         self.keys = np.array([e[0] for e in some], np.int64)
         self.labels = np.array([e[1] for e in some], float)
         self.weight = np.array([share[e[1]] for e in some])
@@ -161,29 +216,36 @@ class Voter:
         self.bare = sum(share[1] for y in none if y == 1) / sum(share[y] for y in none) if none else self.prior
         self.steps = None
         if some and len(set(self.labels)) == 2:
-            votes = []
-            for i, (t, w) in enumerate(vectors):
-                ids, cos = self.index.nearest(t, w, NEIGHBOURS + 5, without=i)
-                far = cos < 0.98  # without its copies
-                votes.append(self.vote(ids[far][:NEIGHBOURS], cos[far][:NEIGHBOURS]))
-            self.steps = monotone(np.array(votes), self.labels, self.weight)
-
-    def vector(self, ranks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids, cos = self.index.search(owner, ranks, weights, len(some), NEIGHBOURS + 6)
+            # Without itself and its copies, which keep their place but lose their vote.
+            other = (ids >= 0) & (ids != np.arange(len(some))[:, None]) & (cos < 0.98)
+            other &= np.cumsum(other, axis=1) <= NEIGHBOURS
+            self.steps = monotone(self.votes(np.where(other, ids, -1), cos), self.labels, self.weight)
+
+    def unit(self, owner: np.ndarray, ranks: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+        """TF-IDF weights of the rows of several texts, each text of length 1."""
         w = (1 + np.log(n)) * self.idf[ranks]
-        return ranks, w / max(np.sqrt((w * w).sum()), 1e-12)
+        return w / np.maximum(np.sqrt(np.bincount(owner, weights=w * w, minlength=rows)), 1e-12)[owner]
 
-    def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
-        w = self.weight[ids] / (NEAR + 1 - cos)
+    def votes(self, ids: np.ndarray, cos: np.ndarray) -> np.ndarray:
+        """The weighted share of label 1 among each row's neighbours, drawn to the prior."""
+        own = np.where(ids >= 0, self.weight[ids] / (NEAR + 1 - cos), 0.0) if len(self.weight) else np.zeros(ids.shape)
         drawn = PRIOR_VOTES * (self.weight.mean() if len(self.weight) else 1.0) / (NEAR + 1)
-        return float(((w * self.labels[ids]).sum() + drawn * self.prior) / (w.sum() + drawn))
-
-    def score(self, ranks: np.ndarray, n: np.ndarray) -> tuple[float, list[dict]]:
-        if not len(ranks):
-            return self.bare, []
-        ids, cos = self.index.nearest(*self.vector(ranks, n), NEIGHBOURS)
-        v = self.vote(ids, cos)
-        p = float(np.interp(v, *self.steps)) if self.steps is not None else self.prior
-        return p, [{"example": int(self.keys[i]), "label": int(self.labels[i]), "cosine": float(c)} for i, c in zip(ids[:3], cos[:3])]
+        ones = (own * self.labels[ids]).sum(axis=1) if len(self.weight) else np.zeros(len(ids))
+        return (ones + drawn * self.prior) / (own.sum(axis=1) + drawn)
+
+    def score(self, owner: np.ndarray, ranks: np.ndarray, n: np.ndarray, rows: int) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores and evidence of texts given by (owner, rank, occurrences) rows in order of owner."""
+        ids, cos = self.index.search(owner, ranks, self.unit(owner, ranks, n, rows), rows, NEIGHBOURS)
+        v = self.votes(ids, cos)
+        p = np.interp(v, *self.steps) if self.steps is not None else np.full(rows, self.prior)
+        p = np.where(np.bincount(owner, minlength=rows) > 0, p, self.bare)
+        keys, labels = (self.keys[ids], self.labels[ids]) if len(self.keys) else (ids, cos)
+        shown = [
+            [{"example": int(e), "label": int(y), "cosine": c} for e, y, c, i in zip(es, ys, cs, own) if i >= 0]
+            for es, ys, cs, own in zip(keys[:, :3].tolist(), labels[:, :3].tolist(), cos[:, :3].tolist(), ids[:, :3].tolist())
+        ]
+        return p, shown
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,12 +294,8 @@ def _scorer(shared):
         for batch in batches:
             for part, texts in slices(batch, "__text"):
                 owner, rank, n = counted(Words(texts, ALNUM, lower=True), model.vocab)
-                cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-                got = [model.score(rank[a:b], n[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([p for p, _ in got], pa.float64()), pa.array([e for _, e in got], kind)],
-                    [*part.schema.names[:2], "score", "evidence"],
-                )
+                scores, shown = model.score(owner, rank, n, len(texts))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores), pa.array(shown, kind)], [*part.schema.names[:2], "score", "evidence"])
 
     return score
 
@@ -282,10 +340,11 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = {int(t): i for i, t in enumerate(vocab.view(np.int64).tolist())}
     table = {r["k"]: (int(r["y"]), [], []) for r in keep.collect()}
     wanted = spark.createDataFrame([(t,) for t in place] or [(0,)], "term long")
-    for r in chosen.join(F.broadcast(wanted), "term").select("k", "term", "n").toLocalIterator():
-        if r["term"] in place:
-            table[r["k"]][1].append(place[r["term"]])
-            table[r["k"]][2].append(r["n"])
+    rows = chosen.join(F.broadcast(wanted), "term").select("k", "term", "n").toArrow()
+    for k, term, n in zip(*(rows.column(c).to_pylist() for c in ("k", "term", "n"))):
+        if term in place:
+            table[k][1].append(place[term])
+            table[k][2].append(n)
     made = []
     for k, (y, ranks, n) in sorted(table.items()):
         order = np.argsort(ranks)

@@ -310,9 +310,15 @@ def test_block_max_index_is_exact():
     dense = dense[dense.any(axis=1)]
     dense /= np.sqrt((dense * dense).sum(axis=1, keepdims=True))
     index = BlockMaxIndex([(np.flatnonzero(v), v[v > 0]) for v in dense], 40)
-    for v in dense[::29]:
-        ids, cos = index.nearest(np.flatnonzero(v), v[v > 0], 15)
-        assert np.allclose(np.sort(dense @ v)[::-1][:15], cos) and np.allclose(dense[ids] @ v, cos)
+    asked = dense[::29]
+    owner, term = np.nonzero(asked)
+    ids, cos = index.search(owner, term, asked[owner, term], len(asked), 15)
+    for v, i, c in zip(asked, ids, cos):
+        assert np.allclose(np.sort(dense @ v)[::-1][:15], c, atol=1e-12) and np.allclose(dense[i] @ v, c)
+    # Alone or among others, a query gets the same to the last bit; one without terms gets nothing.
+    own = owner == 3
+    alone = index.search(owner[own] - 2, term[own], asked[owner, term][own], 3, 15)
+    assert (alone[0][1] == ids[3]).all() and (alone[1][1] == cos[3]).all() and (alone[0][0] == -1).all()
 
 
 def test_monotone_regression_rises():
