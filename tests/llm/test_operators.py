@@ -75,8 +75,7 @@ def test_odd_rows_and_empty_tables(name, spark, odd, none):
     got = every(spark, odd)[name]()
     assert got.count() == len(ODD)
     again = {tuple(map(str, r)) for r in every(spark, odd)[name]().collect()}
-    if name != "lm":
-        assert again == {tuple(map(str, r)) for r in got.collect()}
+    assert again == {tuple(map(str, r)) for r in got.collect()}
     assert every(spark, none)[name]().count() == 0
 
 
@@ -342,11 +341,20 @@ def test_language_model_base_and_normalisation(spark, docs):
 
 
 def test_log_bilinear_probabilities_add_up_to_one():
-    from flowloom.llm.language_model import LogBilinear
+    from flowloom.llm import language_model as lm
 
-    m = LogBilinear(np.array([5.0, 3, 2, 1]))
-    context = np.repeat(np.array([[0, 1]]), 4, axis=0)
-    assert abs(np.exp(m.log_probabilities(context, np.arange(4))).sum() - 1) < 1e-5
+    rng = np.random.default_rng(8)
+    v = lm.Vocabulary(np.arange(1, 3001, dtype=np.uint64), rng.integers(0, 13, (3000, lm.THEMES)), 500.0)
+    m = lm.LogBilinear(v)
+    m.unpack(rng.normal(0, 0.5, len(m.pack())))
+    assert v.groups > 5 and v.size < 3000 and np.diff(v.group_bounds).max() <= lm.GROUP_WORDS
+    symbols = np.arange(v.far + 1)
+    for context in ([0, 1, 2], [v.start, v.start, lm.THEMES], [v.far, 7, 0]):
+        p = m.log_probabilities(np.repeat([context], len(symbols), axis=0), symbols)
+        assert abs(np.exp(p).sum() - 1) < 1e-4
+    # All tokens of a theme's class share its probability by their counts.
+    rest = v.symbol >= v.size
+    assert np.allclose(np.bincount(v.symbol[rest] - v.size, weights=v.counts[rest], minlength=lm.THEMES), v.class_counts)
 
 
 PAGE = "<html><head><title>T</title><script>if (a < b) '</p>'</script></head><body><nav><ul><li><a href=/a>Home</a></li></ul></nav><article><h1>Head &amp; line</h1><p>First   para\n with <b>bold</b> text.<p>Second&nbsp;one<br>here.</article><!-- <p>x</p> --><footer>&copy; me</footer>"
@@ -406,16 +414,46 @@ def test_lstm_gradient():
         assert abs((up - down) / 2e-2 - grads["wf"][i, j]) < 1e-3
 
 
-def test_language_model_shares_add_up(spark, docs):
-    """One-word texts: the model's probabilities of every known token after a start, and one unseen share a class, make one."""
+def test_language_model_shares_add_up(spark):
+    """Of one-word texts and their first token: all known tokens and the unseen share make one, through the scores."""
     from flowloom.llm import language_model as lm
-
-    one = docs.where("doc_id < 60").select("doc_id", F.element_at(F.split("text", "[ \\t-\\r]+"), 1).alias("text")).where("text <> ''")
-    words = sorted({r["text"].translate(LOW) for r in one.collect()})
-    train = spark.createDataFrame([(11 + 0 * i, w) for i, w in enumerate(words)], "doc_id int, text string")  # id 11 is not held out
-    assert zlib.crc32(b"11") % 10
-    got = lm_scores(train).collect()
-    assert len(got) == len(words) and all(r["score"] < 0 and r["n_known"] == 2 for r in got)
-    known = sum(10 ** (r["score"]) for r in got)
-    assert known < 1  # each is a word and an end
-    assert lm.CLASSES <= 256
+    from flowloom.llm.scratch import Scratch, small_batches
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 40), p=np.arange(400, 0, -1) / 80200)) + f" once{i}") for i in range(300)]
+    train = spark.createDataFrame(rows, "doc_id int, text string")
+    small_batches(spark)
+    fitted = lm.Fitted(lm._learned_from(train, "doc_id", "text"), Scratch(spark, "t"))
+    tokens = [r["token"] for r in fitted.counts.select("token").collect()]
+    assert len(tokens) == fitted.distinct and fitted.far_types > 200
+    # Every known word as a text of its own; the far class gives what is left to the unseen.
+    known = {w for i, t in rows if zlib.crc32(str(i).encode()) % 10 for w in t.split()}
+    asked = spark.createDataFrame([(i, w) for i, w in enumerate(sorted(known))] + [(10**6, "never seen")], "doc_id int, text string")
+    every = train.unionByName(asked.withColumn("doc_id", F.lit(0)).limit(0))
+    assert zlib.crc32(b"0") % 10 and every.count() == 300
+    shared = spark.sparkContext.broadcast((fitted.vocabulary, fitted.parameters))
+    m = lm.LogBilinear(fitted.vocabulary)
+    m.unpack(shared.value[1])
+    v = fitted.vocabulary
+    at, symbols = v.look_up(np.array([bt.hash_word(w.encode()) for w in sorted(known)] + [int(lm.END)], np.uint64))
+    p = np.exp(m.log_probabilities(np.repeat([[v.start, v.start, lm.THEMES]], len(symbols), axis=0), symbols))
+    share = np.ones(len(p))
+    rest = (at >= 0) & (symbols >= v.size)
+    share[rest] = v.counts[at[rest]] / v.class_counts[symbols[rest] - v.size]
+    share[at < 0] = (1 - fitted.discount) / fitted.far_mass
+    unseen = p[at < 0][0] * fitted.discount * fitted.far_types / fitted.far_mass
+    empty = np.exp(m.log_probabilities(np.array([[v.start, v.start, lm.THEMES]] * lm.THEMES), v.size + np.arange(lm.THEMES)))
+    assert abs((p * share).sum() + unseen + empty[v.class_counts == 0].sum() - 1) < 1e-4
+
+
+def test_language_model_does_not_depend_on_layout(spark, docs):
+    scores = lambda df: {r["doc_id"]: r["score"] for r in lm_scores(df).collect()}
+    one, many = scores(docs.coalesce(1)), scores(docs.repartition(16))
+    assert max(abs(one[k] - many[k]) / (1 + abs(one[k])) for k in one) < 1e-6
+
+
+def test_language_model_of_no_training_text_is_the_base(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
+    got = lm_scores(spark.createDataFrame([(i, "a b") for i in held], "doc_id int, text string")).collect()
+    assert all((r["train_tokens"], r["n_known"], r["score"]) == (0, 0, r["base_score"]) for r in got)
