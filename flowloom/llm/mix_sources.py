@@ -5,10 +5,14 @@ times the source's size, the excess shared again by weight; in closed form
 min(cap, level * weight) for the level at which all targets add up to all words.
 
 Of a source that is to give r times its words, every document is certain of
-floor(r) whole copies. The rest is a fixed-size sample: a document with
-inclusion probability p gets rank (u / (1 - u)) / (p / (1 - p)) for a uniform u
-that a digest of seed and id fixes, and the lowest ranks are taken until the
-words that are still due are reached to the nearest document.
+floor(r) whole copies. The rest is a fixed-size sample of unequal probabilities:
+inclusion probabilities are in proportion to a preference (the number of binary
+digits of a document's size with ``by_length``, so that longer texts are likelier
+without ruling the mix), and whatever would exceed 1 is certain of a further copy.
+A document with inclusion probability p gets rank (u / (1 - u)) / (p / (1 - p)) for
+a uniform u that a digest of seed and id fixes, and the lowest ranks are taken
+until the words that are still due are reached to the nearest document. The factor
+of proportion follows in closed form from the words of each (source, preference).
 
 Running sums over ranks are two-level: word sums per range of ranks, then single
 documents in the one range of each source in which the sample ends. So no task
@@ -22,7 +26,7 @@ table; input columns other than those named are not looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .scratch import Scratch
 
@@ -60,6 +64,12 @@ def _uniform(id_col: str, seed: str):
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") + 0.5) / float(2**52)
 
 
+def _level(x: Column) -> Column:
+    """A preference in steps of a sixteenth of a doubling, which bounds the number of levels; null counts as 1."""
+    x = F.coalesce(x.cast("double"), F.lit(1.0))
+    return F.pow(F.lit(2.0), F.round(F.log2(F.least(F.greatest(x, F.lit(2.0**-32)), F.lit(2.0**32))) * 16) / 16)
+
+
 def mix_sources(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -68,40 +78,40 @@ def mix_sources(
     weights: tuple[int, ...] = WEIGHTS,
     most_copies: int = MOST_COPIES,
     preference_col: str | None = None,
+    by_length: bool = False,
     seed: str = SEED,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """id, source, size, source_size, target, copies and taken of each row of df.
 
-    Inclusion probabilities are those of the source's rest; with ``preference_col``
-    (positive numbers; null counts as 1) they are in proportion to it, and whatever
-    would exceed 1 is certain of a further copy. Columns named in ``carry`` come
-    back in a struct column ``row``.
+    Preferences are those of ``preference_col`` (positive numbers, in steps of a
+    sixteenth of a doubling; null counts as 1), or follow the size with
+    ``by_length``; with neither all documents of a source are alike. Columns named
+    in ``carry`` come back in a struct column ``row``.
     """
     scratch = Scratch(df.sparkSession, "mix")
-    liking = F.coalesce(F.col(preference_col).cast("double"), F.lit(1.0)) if preference_col else F.lit(1.0)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    liking = _level(F.col(preference_col)) if preference_col else F.length(F.bin("size")).cast("double") if by_length else F.lit(1.0)
     sized = df.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         size.alias("size"),
-        liking.alias("x"),
         _uniform(id_col, seed).alias("u"),
+        *([_level(F.col(preference_col)).alias("x")] if preference_col else []),
         *([F.struct(*carry).alias("row")] if carry else []),
     )
+    sized = sized if preference_col else sized.withColumn("x", liking)
     docs = scratch.write(sized.drop("row"), "docs")
-    by_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("x") * F.col("size")).alias("liked"))
-    plan = targets(by_source.drop("liked"), weights, most_copies).withColumn(
+    levels = scratch.write(docs.groupBy("source", "x").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), "levels")
+    by_source = levels.groupBy("source").agg(F.sum("words").alias("source_size"))
+    plan = targets(by_source, weights, most_copies).withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     )
     plan = plan.withColumn("due", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = scratch.write(plan.join(by_source.select(F.col("source").alias("s"), "liked"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "plan")
-    if preference_col:
-        plan = _certain(docs, plan, scratch)
-    else:
-        plan = plan.withColumn("scale", F.when(F.col("source_size") > 0, F.col("due") / F.col("source_size")).otherwise(F.lit(0.0)))
-    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "due", "scale")
-    ranges = min(MOST_RANGES, max(FEWEST, docs.count() // RANGE_ROWS))
+    scale = _scales(levels, plan.select(F.col("source").alias("p"), "due"))
+    plan = plan.join(scale, F.col("source").eqNullSafe(F.col("q")), "left").withColumn("scale", F.coalesce("scale", F.lit(0.0)))
+    plan = scratch.write(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "due", "scale"), "plan")
+    ranges = min(MOST_RANGES, max(FEWEST, (levels.agg(F.sum("docs")).first()[0] or 0) // RANGE_ROWS))
     ranked = _ranked(docs, plan, ranges)
     sums = ranked.groupBy("source", "part").agg(F.sum("size").alias("words"), F.first("due").alias("due"))
     upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -133,6 +143,21 @@ def mix_sources(
     )
 
 
+def _scales(levels: DataFrame, due: DataFrame) -> DataFrame:
+    """(q, scale) of each source: the factor at which min(1, scale * preference) of all words are those due.
+
+    Levels are few for each source. From the greatest preference down a level is
+    certain as long as the factor for it and all below would give it more than 1.
+    """
+    rows = levels.join(due, F.col("source").eqNullSafe(F.col("p")))
+    falling = Window.partitionBy("source").orderBy(F.col("x").desc())
+    above = F.coalesce(F.sum("words").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.sum(F.col("x") * F.col("words")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    factor = F.when(below > 0, (F.col("due") - above) / below).otherwise(F.lit(0.0))
+    open_ = rows.withColumn("factor", factor).where(F.col("factor") * F.col("x") < 1)
+    return open_.groupBy(F.col("source").alias("q")).agg(F.max_by("factor", "x").alias("scale"))
+
+
 def _ranked(docs: DataFrame, plan: DataFrame, ranges: int) -> DataFrame:
     """Pareto rank of each document and the range of ranks it falls in."""
     chance = F.least(F.col("scale") * F.col("x"), F.lit(1.0))
@@ -141,25 +166,3 @@ def _ranked(docs: DataFrame, plan: DataFrame, ranges: int) -> DataFrame:
     part = F.when(F.col("rank") == float("inf"), F.lit(ranges)).otherwise(F.floor(F.col("rank") / (1 + F.col("rank")) * ranges))
     joined = docs.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     return joined.withColumn("rank", rank).withColumn("part", part.cast("int"))
-
-
-def _certain(docs: DataFrame, plan: DataFrame, scratch: Scratch) -> DataFrame:
-    """The scale of each source at which capped probabilities give the words due; one sum a source and round."""
-    plan = scratch.write(plan.withColumn("scale", F.when(F.col("liked") > 0, F.col("due") / F.col("liked")).otherwise(F.lit(0.0))), "scale-0")
-    for k in range(1, 40):
-        p = plan.select(F.col("source").alias("s"), "scale")
-        sure = F.col("scale") * F.col("x") >= 1
-        sums = docs.join(p, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
-            F.sum(F.when(sure, F.col("size")).otherwise(F.lit(0))).alias("sure"), F.sum(F.when(sure, F.lit(0.0)).otherwise(F.col("x") * F.col("size"))).alias("open")
-        )
-        sums = sums.select(F.col("source").alias("s"), "sure", "open")
-        new = F.when(F.col("open") > 0, (F.col("due") - F.col("sure")) / F.col("open")).otherwise(F.col("scale"))
-        after = scratch.write(
-            plan.withColumnRenamed("scale", "old").withColumn("scale", F.col("old")).join(sums, F.col("source").eqNullSafe(F.col("s"))).withColumn("scale", F.greatest(new, F.col("old"))).drop("s", "sure", "open"),
-            f"scale-{k}",
-        )
-        moved = after.where(F.abs(F.col("scale") - F.col("old")) > 1e-9 * F.col("scale")).count()
-        plan = after.drop("old")
-        if not moved:
-            break
-    return plan

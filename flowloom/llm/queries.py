@@ -139,7 +139,7 @@ from d left join h on h.doc_id = d.doc_id left join it on it.doc_id = d.doc_id
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(_table(spark, sf_dir, "documents"), by_length=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 _MIX_SQL = f"""
@@ -154,7 +154,13 @@ wl as (select *, max(case when not cap / w < lvl then lvl end) over () water fro
 t as (select source, z, case when cap / w < lvl then cap else least(cap, water * w) end target from wl),
 p as (select *, case when z > 0 then floor(target / z) else 0 end whole from t),
 q as (select *, target - whole * z due from p),
-r as (select d.*, q.z, target, whole, due, case when z > 0 then due / z else 0 end sc from d join q on d.source is not distinct from q.source),
+x as (select *, length(bin(size))::double x from d),
+lx as (select source, x, sum(size)::bigint words from x group by 1, 2),
+fx as (select lx.source, x, case when sum(x * words) over b > 0 then (due - coalesce(sum(words) over a, 0)) / sum(x * words) over b else 0 end fac
+       from lx join q on lx.source is not distinct from q.source
+       window a as (partition by lx.source order by x desc rows between unbounded preceding and 1 preceding), b as (partition by lx.source order by x desc rows between current row and unbounded following)),
+sc as (select source, max_by(fac, x) scale from fx where fac * x < 1 group by 1),
+r as (select x.*, q.z, target, whole, due, least(coalesce(sc.scale, 0) * x.x, 1) sc from x join q on x.source is not distinct from q.source left join sc on x.source is not distinct from sc.source),
 k as (select *, case when sc >= 1 then 0.0 when sc <= 0 then 'inf'::double else (u / (1 - u)) / (sc / (1 - sc)) end rk from r),
 c as (select *, coalesce(sum(size) over (partition by source order by rk, doc_id, size rows between unbounded preceding and 1 preceding), 0) so_far from k)
 select doc_id, size, z source_size, target,

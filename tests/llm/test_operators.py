@@ -236,12 +236,33 @@ def test_mix_comes_near_targets_and_reruns_agree(spark, docs):
     assert sorted(map(str, got)) == sorted(map(str, mix_sources(docs.repartition(7)).collect()))
 
 
-def test_mix_with_preferences_takes_the_preferred_first(spark):
+def test_mix_inclusion_follows_the_odds(spark):
+    rows = [(i, "w " * 10, "s" if i < 3000 else "t", 1.0 + i % 4 if i != 3001 else None) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string, liking double")
+    got = mix_sources(df, preference_col="liking", weights=(4, 1)).where("source = 't'").toPandas()
+    assert abs(got.taken.sum() - got.target.iloc[0]) <= 10 and got.copies.max() == 1
+    rate = got.groupby(got.doc_id % 4).copies.mean()
+    whole = got.copies.mean()
+    for k in range(4):  # due is 0.4 of the words: inclusion probabilities are 0.4 * preference / mean preference
+        assert abs(rate[k] - whole * (1 + k) / 2.5) < 0.06, rate
+
+
+def test_mix_is_certain_of_what_would_exceed_one(spark):
     rows = [(i, "w " * 10, "s" if i < 400 else "t", 100.0 if i % 4 == 0 else 1.0) for i in range(800)]
     df = spark.createDataFrame(rows, "doc_id int, text string, source string, liking double")
-    got = mix_sources(df, preference_col="liking").where("source = 't'").toPandas()
-    liked = got[got.doc_id % 4 == 0].copies.mean()
-    assert liked > got[got.doc_id % 4 != 0].copies.mean() and abs(got.taken.sum() - got.target.iloc[0]) <= 10
+    got = mix_sources(df, preference_col="liking", weights=(1, 1)).toPandas()
+    assert (got.copies >= 1).all()  # both sources are due whole
+    got = mix_sources(df, preference_col="liking", weights=(3, 2)).where("source = 't'").toPandas()
+    assert (got[got.doc_id % 4 == 0].copies == 1).all() and abs(got.taken.sum() - got.target.iloc[0]) <= 10
+
+
+def test_mix_by_length_prefers_longer_texts(spark, docs):
+    got = mix_sources(docs, by_length=True).toPandas()
+    level = got["size"].map(lambda n: len(f"{n:b}"))
+    due = got.groupby("source").apply(lambda g: (g.target.iloc[0] / g.source_size.iloc[0]) % 1, include_groups=False)
+    part = got[got.source.map(due).between(0.2, 0.8)]
+    more = part.copies - part.groupby("source").copies.transform("min")
+    assert more[level >= 9].mean() > more[(level <= 6) & (part["size"] > 0)].mean()
 
 
 def test_importance_cut_is_the_kth_row(spark):
