@@ -5,14 +5,16 @@ distribution of texts labelled good, the raw model that of all texts. A text's
 weight is its log-likelihood ratio; adding Gumbel noise and keeping the k
 largest keys samples k texts without replacement in proportion to the weights.
 
-The target model is fitted on at most ``TARGET_ROWS`` labelled ids, the smallest by
-hash; the raw model counts all texts. The k-th key is found by narrowing a
+The target model is fitted on about ``TARGET_ROWS`` labelled ids at most, those whose
+hash lies below a threshold that follows from their number; the raw model counts all texts. The k-th key is found by narrowing a
 histogram, so keys are neither sorted nor gathered.
 
 Defined results: null and wordless texts have weight 0; without any good label
 all weights are 0 and the sample is uniform; noise is fixed by seed and id, so
 rows that repeat an id get equal noise, and rows equal to the last one chosen in
-key and id are all chosen; null ids share one noise; an empty table stays empty.
+key and id are all chosen; null ids share one noise, and if more than ``LAST_ROWS``
+rows tie with the last one in key, all of them are chosen; an empty table stays
+empty; columns other than id, text and label are not looked at.
 """
 
 from __future__ import annotations
@@ -96,6 +98,8 @@ def cut(keys: DataFrame, k: int) -> tuple[float, object] | None:
             wanted -= bins[b][0]
         n, lo, hi = bins[b]
         inside = keys.where((F.col("key") >= lo) & (F.col("key") <= hi))
+    if n > LAST_ROWS:  # all of one key
+        return lo, inside.agg(F.max("id")).first()[0]
     last = inside.orderBy(F.col("key").desc(), F.col("id")).limit(wanted).agg(F.min("key"), F.max_by("id", F.struct(-F.col("key"), "id"))).first()
     return last[0], last[1]
 
@@ -108,11 +112,13 @@ def importance_sample(
     small_batches(spark)
     scratch = Scratch(spark, "importance")
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(id_col).distinct()
-    good = good.orderBy(F.xxhash64(id_col), id_col).limit(TARGET_ROWS)
+    n_good = good.count()
+    if n_good > TARGET_ROWS:
+        good = good.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_003)) < int(1_000_003 * TARGET_ROWS / n_good))
     texts = df.select(id_col, F.col(text_col).alias("__text"))
     raw = _model(texts.select("__text"))
     target = _model(texts.join(F.broadcast(good), id_col, "left_semi").select("__text"))
-    table = np.log(target) - np.log(raw) if not good.isEmpty() else np.zeros(BUCKETS)
+    table = np.log(target) - np.log(raw) if n_good else np.zeros(BUCKETS)
     id_type = df.schema[id_col].dataType.simpleString()
     weighed = texts.mapInArrow(_weigher(spark.sparkContext.broadcast(table)), f"`{id_col}` {id_type}, n_grams long, log_weight double")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))

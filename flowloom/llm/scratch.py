@@ -16,12 +16,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
-FALLBACK = "file:///tmp/checkpoints/flowloom"
+#: Used only where the session names no folder and all of it runs on one machine, as in tests.
+ONE_MACHINE = "file:///tmp/checkpoints/flowloom"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if spark.sparkContext.master.partition("[")[0] == "local":
+        return ONE_MACHINE
+    raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
 class Scratch:
