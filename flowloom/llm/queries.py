@@ -11,7 +11,7 @@ from .html_text import html_text
 from .importance import importance_sample
 from .language_id import language_id
 from .language_model import lm_scores
-from .line_dedup import LEAST_PAGES, RATIO, line_dedup
+from .line_dedup import HALVING, LEAST_LONG, LEAST_PAGES, LONG, RATIO, SHORT, line_dedup
 from .mix_sources import MOST_COPIES, SEED, WEIGHTS, mix_sources
 from .near_duplicates import near_duplicates
 from .quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, STOP_WORDS, THRESHOLDS, quality_rules
@@ -69,14 +69,20 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BARE = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 _LINE_DEDUP_SQL = f"""
-with d as (select doc_id, source, text, string_split(text, chr(10)) ls from documents),
-l as (select distinct doc_id, source, {_BARE} k from (select doc_id, source, unnest(ls) x from d) where {_BARE} <> ''),
-t as (select source, count(*) n from documents group by 1),
-b as (select l.source, k from l join t on l.source is not distinct from t.source
-      group by l.source, k having count(*) >= {LEAST_PAGES} and count(*) > {RATIO}::double * any_value(n)),
-bs as (select source, list(k) ks from b group by 1),
+with d as (select doc_id, source, text, string_split(text, chr(10)) ls, coalesce('h' || source, 'n') || chr(10) tag, row_number() over () r from documents),
+l as (select distinct r, source, k, md5(tag || k) key from (select r, source, tag, {_BARE} k from (select r, source, tag, unnest(ls) x from d)) where k <> ''),
+g as (select *, ('0x' || substr(key, 1, 15))::bigint g from l),
+m as (select r, list_sort(list(g)) al from g group by r),
+s as (select source, key, length(k) chars, case when g = al[1] then al[2] else al[1] end least_, case when g = al[len(al)] then case when len(al) > 1 then al[len(al) - 1] end else al[len(al)] end most_
+      from g join m on g.r = m.r),
+c as (select source, key, max(chars) chars, count(*) pages, count(distinct least_) n, min(most_) < max(most_) differ from s group by 1, 2),
+t as (select source, count(*) total from documents group by 1),
+b as (select c.source, key from c join t on c.source is not distinct from t.source
+      where n >= case when chars >= {LONG} then {LEAST_LONG} else {LEAST_PAGES} end and differ and 3 * n >= pages
+        and n > {RATIO}::double * pow(2.0::double, -greatest(chars - {SHORT}, 0) / {HALVING}.0::double) * total),
+bs as (select source, list(key) ks from b group by 1),
 e as (select d.*, coalesce(ks, []) ks from d left join bs on d.source is not distinct from bs.source),
-k as (select doc_id, ls, text, list_filter(ls, lambda x: not list_contains(ks, {_BARE})) kept from e)
+k as (select doc_id, ls, text, list_filter(ls, lambda x: not list_contains(ks, md5(tag || {_BARE}))) kept from e)
 select doc_id, coalesce(len(ls), 0)::bigint n_lines, coalesce(len(ls) - len(kept), 0)::bigint n_dropped,
        case when text is null then null else array_to_string(kept, chr(10)) end "text"
 from k

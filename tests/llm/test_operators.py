@@ -216,10 +216,28 @@ def test_contamination_of_short_items_and_repeats(spark):
 
 
 def test_line_dedup_is_relative_to_the_host(spark):
-    rows = [(i, f"own line {i}\nMENU \n", "a") for i in range(10)] + [(20 + i, f"other {i}\nMENU", "b") for i in range(3)] + [(30, "MENU", None)]
-    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    rows = [(i, f"own line {i}\nMENU \n", "a") for i in range(10)] + [(20 + i, f"other {i}\nMENU", "b") for i in range(3)] + [(30, "MENU", None), (31, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r["doc_id"]: r for r in line_dedup(df).collect()}
     assert (got[0]["text"], got[0]["n_dropped"]) == ("own line 0\n", 1)
-    assert got[20]["text"] == "other 0\nMENU" and got[30]["text"] == "MENU"
+    assert got[20]["text"] == "other 0\nMENU" and got[30]["text"] == "MENU" and (got[31]["text"], got[31]["n_lines"]) == (None, 0)
+    joined = line_dedup(df, broadcast_lines=0)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, got.values()))
+
+
+def test_line_dedup_cuts_long_passages_but_leaves_copies_alone(spark):
+    rng = np.random.default_rng(7)
+    line = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    passage, page = line(60), [line(20) for _ in range(9)]
+    rows = [(i, "\n".join([line(15), passage, line(12)] if i % 250 == 0 else [line(15), line(30)]), "a") for i in range(1000)]
+    rows += [(2000 + i, "\n".join(page), "a") for i in range(40)]  # exact copies
+    rows += [(3000 + i, "\n".join([*page[:4], line(20), *page[5:]]), "a") for i in range(40)]  # near copies
+    got = {r["doc_id"]: r for r in line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert all(passage not in got[i]["text"] and got[i]["n_dropped"] == 1 for i in range(0, 1000, 250))
+    assert all(r["n_dropped"] == 0 for i, r in got.items() if i % 250 or i >= 1000)
+
+
+def test_host_of_urls(spark):
     host = spark.createDataFrame([("https://A.b.example/x?y",), ("nothing",)], "u string").select(host_of(F.col("u")).alias("h"))
     assert [r["h"] for r in host.collect()] == ["a.b.example", None]
 
