@@ -10,11 +10,19 @@
    then decided on both full sets.
 4. Confirmed links give components. Only a bucket that still holds several
    components can hide another link, and only between members of different ones.
-5. Such open buckets are cut into tiles of bounded rows and bytes, a tile for
-   each two parts of a bucket. A tile estimates all pairs of different components
-   on registers, takes promising ones by falling agreement, verifies them on full
-   sets and skips those it has connected meanwhile, so that it gives at most one
-   link for each row. No bucket is capped, and no step writes a row a pair.
+5. Members of such open buckets are joined once more, by prefixes: with shingles in
+   order of rarity among all these members, two sets similar enough share one of
+   the first n - ceil(0.75 n) + 1 of either. These prefix shingles are the next
+   buckets, with a star and components as before. What many members have in common
+   (a template, say) is no one's rarity, so rows stay in proportion to members.
+6. Prefix buckets that are still open are cut into tiles of bounded rows and bytes,
+   a tile for each two parts of a bucket. A tile takes pairs of different components
+   by falling agreement of registers, verifies them on full sets and skips those it
+   has connected meanwhile, so that it gives at most one link for each row. A tile
+   copies its rows, so here alone work grows with the square of a bucket's parts.
+
+Joins in which one key can hold many rows (the hub of a star, a large bucket) deal
+that key's rows to as many tasks as they need, with a copy of the other side each.
 
 Defined results: null and wordless texts have no set, ``n_shingles`` 0 and link
 with nothing. Rows that share an id count as one document and get its component.
@@ -43,6 +51,8 @@ PERCENT = 75
 ESTIMATE_MARGIN = 0.13
 #: Rows and bytes of sets in a part of a bucket; a tile holds two parts.
 PART_ROWS, PART_BYTES = 256, 8 << 20
+#: Rows of one key that a join leaves together.
+HOT_ROWS = 1000
 #: Ids of documents to be verified, and open buckets, are broadcast up to this many, and joined by shuffle beyond.
 BROADCAST_IDS = 500_000
 
@@ -122,6 +132,31 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
 
+def _shared_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a batch's sets hold each shingle."""
+    for batch in batches:
+        if batch.num_rows:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), U64)
+            token, n = np.unique(flat, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
+            sets = [np.frombuffer(x, U64) for x in part.column("set").to_pylist()]
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([part.column("id").take(rows), part.column("k").take(rows), pa.array(flat.view(np.int64)), pa.array([len(sets[i]) for i in rows.to_pylist()], pa.int64())], ["id", "k", "token", "n"])
+
+
+def prefix_length(n):
+    """Shingles of a set of n of which a similar set must share one; of a number or a column."""
+    least = F.ceil(n * PERCENT / 100) if not isinstance(n, int) else -(-n * PERCENT // 100)
+    return n - least + 1
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted distinct sets are similar enough."""
     n = len(a) + len(b)
@@ -140,11 +175,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def tile_links(band: int, components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between rows of different components that connect whatever the rows' sets connect.
-
-    Two rows may meet in several bands; only the first band in which they agree decides on them.
-    """
+def tile_links(components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different components that connect whatever the rows' sets connect."""
     root = {c: c for c in components.tolist()}
 
     def find(x):
@@ -161,8 +193,6 @@ def tile_links(band: int, components: np.ndarray, regs: np.ndarray, sizes: np.nd
         if len(other):
             own, size = np.broadcast_to(regs[i], (len(other), regs.shape[1])), np.full(len(other), float(sizes[i]))
             other = other[setsketch.at_least(own, regs[other], size, sizes[other].astype(float), PERCENT / 100 - ESTIMATE_MARGIN)]
-            agree = (regs[other] == regs[i]).reshape(-1, setsketch.BANDS, setsketch.BAND_ROWS).all(axis=2)
-            other = other[np.argmax(agree, axis=1) == band]
             rows.append(np.full(len(other), i))
             cols.append(other)
             guess.append((regs[other] == regs[i]).sum(axis=1))
@@ -183,8 +213,7 @@ def _tile(table: pa.Table) -> pa.Table:
     _, components = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
     regs = _matrix(table.column("regs"))
     sets = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
-    band = table.column("key")[0].as_py() >> (8 * setsketch.BAND_ROWS)
-    found = tile_links(band, components, regs, np.array([len(x) for x in sets]), sets)
+    found = tile_links(components, regs, np.array([len(x) for x in sets]), sets)
     take = lambda side: ids.take(pa.array([p[side] for p in found], pa.int64()))
     return pa.table({"a": take(0), "b": take(1)})
 
@@ -225,10 +254,23 @@ class _Job:
             self.bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("members")).where("least <> most"),
             "buckets",
         )
-        shared = self.bands.join(self.buckets.select(F.col("key").alias("k"), "least", "members"), F.col("key") == F.col("k")).drop("k")
-        self.members = self.scratch.write(shared, "members")
+        self.members = self.scratch.write(self.dealt(self.bands, self.buckets.select("key", "least", "members"), "key", "id"), "members")
         self.scratch.drop("bands")
 
+    def dealt(self, rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+        """rows joined with a table of few rows a key; a key with many rows is dealt to several tasks by another column."""
+        self.round += 1
+        many = rows.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count(F.lit(1)) / HOT_ROWS).cast("int").alias("__parts")).where("__parts > 1")
+        many = self.scratch.write(many, f"many-{self.round}")
+        n = many.count()
+        if not n:
+            return rows.join(table, key)
+        many = F.broadcast(many) if n <= BROADCAST_IDS else many
+        parts = lambda df: df.join(many, df[key] == F.col("__key"), "left").withColumn("__parts", F.coalesce("__parts", F.lit(1))).drop("__key")
+        left = parts(rows).withColumn("__part", F.pmod(F.xxhash64(by), F.col("__parts")).cast("int")).drop("__parts")
+        right = parts(table).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts")
+        return left.join(right, [key, "__part"]).drop("__part")
+
     def side(self, table: DataFrame, s: str) -> DataFrame:
         return table.select(*[F.col(c).alias(s if c == "id" else f"{c}_{s}") for c in table.columns])
 
@@ -245,7 +287,7 @@ class _Job:
     def verified(self, pairs: DataFrame, known: DataFrame, name: str) -> DataFrame:
         before = self.spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
         small_batches(self.spark, 128)
-        joined = pairs.join(self.side(known, "a"), "a").join(self.side(known, "b"), "b")
+        joined = self.dealt(pairs.join(self.side(known, "b"), "b"), self.side(known, "a"), "a", "b")
         links = self.scratch.write(joined.mapInArrow(_verify, self.pair).distinct(), name)
         self.spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
         return links
@@ -254,32 +296,74 @@ class _Job:
         """(node, component) of every document with a link to a different set."""
         self.pair = self._schema(("a", self.id), ("b", self.id))
         star = self.members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        sized = star.join(self.side(self.reps, "a"), "a").join(self.side(self.reps, "b"), "b").where(SIZED)
-        hopeful = self.scratch.write(sized.mapInArrow(_promising, self.pair).distinct(), "hopeful")
-        sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), "star")
-        links = self.verified(hopeful, sets, "links")
-        self.scratch.drop("sets-star", "hopeful")
-        found = self.scratch.write(components(links, self.scratch, "first"), "found")
-        rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found)
-        sets = self.sets(rest.select("id"), "rest")
-        known = self.scratch.write(self.reps.join(sets, "id"), "known")
-        self.scratch.drop("members", "buckets", "sets-rest")
+        found = self.star(star, None, "first")
+        rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found, "rest")
+        self.scratch.drop("members", "buckets", "bands")
         if not rest.isEmpty():
-            found = self.joined(found, self.tiled(rest, known), "found-tiles")
-        self.scratch.drop("known", "reps", "tiles")
+            sets = self.sets(rest.select("id"), "rest")
+            known = self.scratch.write(self.reps.join(sets, "id"), "known")
+            self.scratch.drop("sets-rest")
+            prefixes = self.prefixes(known)
+            least = prefixes.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
+            star = self.dealt(prefixes, least, "key", "id").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+            more = self.star(star, known, "second").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = self.joined(found, more, "found-prefixes")
+            rest = self.open(prefixes, found, "still")
+            if not rest.isEmpty():
+                found = self.joined(found, self.tiled(rest, known), "found-tiles")
+            self.scratch.drop("known", "prefixes", "tiles")
+        self.scratch.drop("reps")
         return found
 
+    def star(self, star: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
+        """(node, component) by the confirmed links among pairs (a, b); sets are looked up unless known."""
+        pairs = self.dealt(star.join(self.side(self.reps, "b"), "b"), self.side(self.reps, "a"), "a", "b").where(SIZED)
+        hopeful = self.scratch.write(pairs.mapInArrow(_promising, self.pair).distinct(), f"hopeful-{name}")
+        if known is None:
+            sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), name)
+        else:
+            sets = known.select("id", "set")
+        links = self.verified(hopeful, sets, f"links-{name}")
+        self.scratch.drop(f"sets-{name}", f"hopeful-{name}")
+        return self.scratch.write(components(links, self.scratch, name), f"found-{name}")
+
+    def prefixes(self, known: DataFrame) -> DataFrame:
+        """(key, id, n): each member under its rarest shingles, as many as two similar sets must share one of."""
+        long = T.LongType()
+        often = known.select("set").mapInArrow(_shared_out, self._schema(("token", long), ("n", long))).groupBy("token").agg(F.sum("n").alias("often")).where("often > 1")
+        often = self.scratch.write(often, "often")
+        schema = self._schema(("id", self.id), ("k", long), ("token", long), ("n", long))
+        # An id that stands for two sets has the prefixes of both, each in its own order.
+        flat = known.select("id", F.xxhash64("set").alias("k"), "set").mapInArrow(_exploded, schema)
+        shared = self.dealt(flat, often, "token", "id")
+        # Shingles of one member only come first in the order and are no one's bucket, so they are but counted.
+        ranked = shared.groupBy("id", "k", "n").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("s"))
+        alone = F.col("n") - F.size("s")
+        took = F.greatest(prefix_length(F.col("n")) - alone, F.lit(0)).cast("int")
+        rows = ranked.select("id", "n", F.explode(F.slice("s", 1, took)).alias("x")).select(F.col("x.token").alias("key"), "id", "n")
+        rows = self.scratch.write(rows.distinct(), "prefixes")
+        self.scratch.drop("often")
+        return rows
+
     def joined(self, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
         every = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return self.scratch.write(components(every, self.scratch, f"{name}-steps"), name)
 
-    def open(self, members: DataFrame, found: DataFrame) -> DataFrame:
+    def open(self, members: DataFrame, found: DataFrame, name: str) -> DataFrame:
         """Members, with components, of buckets in which several components meet."""
         placed = members.join(found, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
-        placed = self.scratch.write(placed, "placed")
+        placed = self.scratch.write(placed, f"placed-{name}")
         mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = self.scratch.write(placed.join(mixed, "key", "left_semi"), "rest")
-        self.scratch.drop("placed")
+        mixed = self.scratch.write(mixed, f"mixed-{name}")
+        n = mixed.count()
+        if not n:
+            rest = placed.limit(0)
+        elif n <= BROADCAST_IDS:  # with few open buckets their table goes to the rows
+            rest = placed.join(F.broadcast(mixed), "key")
+        else:
+            rest = self.dealt(placed, mixed, "key", "id")
+        rest = self.scratch.write(rest, name)
+        self.scratch.drop(f"placed-{name}", f"mixed-{name}")
         return rest
 
     def tiled(self, rest: DataFrame, known: DataFrame) -> DataFrame:
@@ -287,10 +371,9 @@ class _Job:
         parts = rest.groupBy("key").agg(
             F.greatest(F.ceil(F.count(F.lit(1)) / PART_ROWS), F.ceil(F.sum("n") * 8 / PART_BYTES)).cast("int").alias("parts")
         )
-        # A bucket's rows stay where they lie: with few open buckets their table goes to the rows.
         parts = self.scratch.write(parts, "parts")
         few = parts.count() <= BROADCAST_IDS
-        spread = rest.join(F.broadcast(parts) if few else parts, "key").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+        spread = (rest.join(F.broadcast(parts), "key") if few else self.dealt(rest, parts, "key", "id")).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
         # A row of part p stands in the tiles (p, q) and (q, p) of all parts q, each named by its lower part first.
         spread = spread.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         spread = spread.select("key", F.least("part", "q").alias("lo"), F.greatest("part", "q").alias("hi"), "id", "component")

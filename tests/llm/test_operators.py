@@ -19,7 +19,7 @@ from flowloom.llm.language_id import language_id
 from flowloom.llm.language_model import lm_scores
 from flowloom.llm.line_dedup import host_of, line_dedup
 from flowloom.llm.mix_sources import mix_sources
-from flowloom.llm.near_duplicates import near_duplicates, tile_links
+from flowloom.llm.near_duplicates import near_duplicates, prefix_length, tile_links
 from flowloom.llm.quality_rules import quality_rules
 from flowloom.llm.toxicity import BlockMaxIndex, monotone, toxicity
 
@@ -173,7 +173,7 @@ def test_tile_links_connect_what_the_sets_connect():
         sets.append(np.unique(s))
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     regs = ss.registers(np.concatenate(sets), starts)
-    links = [p for band in range(ss.BANDS) for p in tile_links(band, np.arange(30), regs, np.array(list(map(len, sets))), sets)]
+    links = tile_links(np.arange(30), regs, np.array(list(map(len, sets))), sets)
     root = list(range(30))
 
     def find(x):
@@ -190,6 +190,41 @@ def test_tile_links_connect_what_the_sets_connect():
                 assert find(i) == find(j)
 
 
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        a = set(range(n))
+        b = {x if rng.random() < 0.9 else x + 1000 for x in a} | set(range(2000, 2000 + int(rng.integers(0, 4))))
+        if 100 * len(a & b) >= 75 * len(a | b):
+            order = rng.permutation(3000)
+            first = lambda s: set(sorted(s, key=lambda x: order[x])[: prefix_length(len(s))])
+            assert first(a) & first(b)
+
+
+def test_a_template_of_many_texts_stays_in_proportion(spark, monkeypatch):
+    """Texts half of which is one template: open buckets of all of them, no links, and rows that grow with them only."""
+    import flowloom.llm.near_duplicates as nd
+
+    written = {}
+    old = nd.Scratch.write
+
+    def write(self, df, name):
+        out = old(self, df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(nd.Scratch, "write", write)
+    template = " ".join(f"t{i}" for i in range(70))
+    for n in (500, 2000):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(template + " "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat(F.lit("u"), F.col("id"), F.lit("x"), k)), " ")).alias("text"))
+        extra = df.where("doc_id < 3").select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat("text", F.lit(" one more")).alias("text"))
+        written.clear()
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df.unionByName(extra)).collect()}
+        assert all(got[i] == i for i in range(n)) and [got[100_000 + i] for i in range(3)] == [0, 1, 2]
+        assert written["rest"] > n / 2 and written.get("tiles", 0) == 0 and written["prefixes"] <= 40 * n, written
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 900, dtype=np.uint64)
