@@ -45,7 +45,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: documents with at least one copy, and how many copies."""
-    mixed = mix_sources(docs, carry=docs.columns).where("copies > 0")
+    mixed = mix_sources(docs, by_length=True, carry=docs.columns).where("copies > 0")
     return mixed.select("row.*", "size", "source_size", "target", "copies", "taken")
 
 
