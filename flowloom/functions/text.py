@@ -152,11 +152,56 @@ def jittered(capped: Column, hash_: Column) -> Column:
     return (capped - F.when(quarter > 0, hash_ % (quarter + 1)).otherwise(F.lit(0)).cast("bigint")).cast("bigint")
 
 
+def hex_dump(data: Column) -> Column:
+    """Lines of 16 bytes: offset, hexadecimal, printable characters; the first INLINE_BYTES bytes."""
+    rows = F.ceil(F.least(F.octet_length(data), F.lit(INLINE_BYTES)) / 16).cast("int")
+
+    def line(k: Column) -> Column:
+        row = F.substr(data, k * 16 + 1, F.least(F.lit(16), F.lit(INLINE_BYTES) - k * 16))
+        codes = F.regexp_replace(F.lower(F.hex(row)), "(..)(?!$)", "$1 ")
+        shown = F.regexp_replace(F.decode(row, "ISO-8859-1"), "[^\\x20-\\x7e]", ".")
+        return F.concat(F.lpad(F.lower(F.hex(k * 16)), 8, "0"), F.lit("  "), F.rpad(codes, 47, " "), F.lit("  "), shown)
+
+    return F.when(rows > 0, F.array_join(F.transform(F.sequence(F.lit(0), rows - 1), line), "\n")).otherwise(F.lit(""))
+
+
 def payload_text(data: Column, encoding: Column) -> Column:
-    """A payload to look at: JSON in its canonical text, other UTF-8 as it is, and the first bytes in hexadecimal otherwise."""
+    """A payload to look at, by its encoding: JSON in its canonical text, text as it is, anything else as a hex dump.
+
+    Bytes that are no UTF-8 are dumped whatever the encoding says.
+    """
     text = F.try_validate_utf8(data.cast("string"))
     parsed = F.to_json(F.try_parse_json(text))
-    return F.when(F.contains(F.lower(encoding), F.lit("json")) & parsed.isNotNull(), parsed).when(text.isNotNull(), text).otherwise(F.hex(F.substring(data, 1, INLINE_BYTES)))
+    kind = F.lower(F.coalesce(encoding, F.lit("")))
+    json = F.contains(kind, F.lit("json"))
+    plain = (kind == "") | F.contains(kind, F.lit("text")) | F.contains(kind, F.lit("utf")) | F.contains(kind, F.lit("plain"))
+    return F.when(json & text.isNotNull(), F.coalesce(parsed, text)).when(~json & plain & text.isNotNull(), text).otherwise(hex_dump(data))
+
+
+def dead_letter_json(key_b64: Column) -> Column:
+    """A dead letter as JSON: its attempt is the final one, and its key names it in commands."""
+    return F.to_json(
+        F.struct(
+            F.col("job_id").alias("id"), key_b64.alias("key_b64"), "job_type", "priority", F.col("attempt"), "max_attempts", F.col("enq").alias("enqueued_at_ms"),
+            F.col("failed_at").alias("failed_at_ms"), "cause", F.col("sched").alias("scheduled_at_ms"),
+        )
+    )
+
+
+def dead_letter_key(failed_at: Column, queue: Column, job_id: Column) -> Column:
+    """The bytes of a dead letter's key: time, length of the queue's name, name, id; numbers big-endian."""
+    at = F.unhex(F.lpad(F.hex(failed_at), 16, "0"))
+    size = F.unhex(F.lpad(F.hex(F.octet_length(queue).cast("bigint")), 4, "0"))
+    return F.concat(at, size, F.encode(queue, "UTF-8"), F.encode(job_id, "UTF-8"))
+
+
+def custom_json(custom: Column) -> Column:
+    """A map of typed primitives as JSON, keys in byte order; a value without a type is null."""
+    text = lambda s: F.to_json(F.array(s))
+    inner = lambda s: F.substr(text(s), F.lit(2), F.length(text(s)) - 2)
+    value = lambda v: F.coalesce(F.when(v["s"].isNotNull(), inner(v["s"])), F.when(v["d"].isNotNull(), inner(v["d"])), v["i"].cast("string"), v["b"].cast("string"), F.lit("null"))
+    parts = F.transform(F.array_sort(F.map_keys(custom)), lambda k: F.concat(inner(k), F.lit(":"), value(F.element_at(custom, k))))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
 
 
 ROLES = ("viewer", "operator", "admin")

@@ -2,53 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def _windows(window_ms: int):
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, deadline = None, 0, 0
+        for pdf in frames:
+            firsts, deadlines, repeats = [], [], []
+            for queue, idem, event, at in zip(pdf["queue"], pdf["idem"], pdf["event_id"].tolist(), pdf["enq"].tolist()):
+                repeat = (queue, idem) == key and at < deadline
+                if not repeat:
+                    key, first, deadline = (queue, idem), event, at + window_ms
+                firsts.append(first)
+                deadlines.append(deadline)
+                repeats.append(repeat)
+            yield pdf.drop(columns="enq").assign(first_id=firsts, deadline=deadlines, deduplicated=repeats)
+
+    return fold
+
+
 def dedup_fold(jobs: DataFrame, window_ms: int) -> DataFrame:
     """Each keyed enqueue with the id it gets and whether it is a repeat.
 
     The window is fixed from the first accepted enqueue and does not slide; at
-    its deadline a key is new again. Keys are folded one by one in event order;
-    a key's rows meet in one array of (time, id) pairs.
+    its deadline a key is new again. Rows are sorted by key and event order and
+    read as a stream that remembers one window, so a key of any number of rows
+    takes no memory, and work in proportion.
     """
-    order = F.array_sort(F.collect_list(F.struct("enq", "event_id")))
-    keyed = jobs.where("idem is not null").groupBy("queue", "idem").agg(order.alias("rows"))
-    row = "struct<event_id:bigint,first_id:bigint,deadline:bigint,deduplicated:boolean>"
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.element_at(acc, -1)
-        hit = (F.size(acc) > 0) & (r["enq"] < last["deadline"])
-        return F.concat(
-            acc,
-            F.array(
-                F.struct(
-                    r["event_id"].alias("event_id"),
-                    F.when(hit, last["first_id"]).otherwise(r["event_id"]).alias("first_id"),
-                    F.when(hit, last["deadline"]).otherwise(r["enq"] + window_ms).alias("deadline"),
-                    hit.alias("deduplicated"),
-                )
-            ),
-        )
-
-    # An empty array cannot be asked for its last element.
-    safe = lambda acc, r: F.when(F.size(acc) == 0, F.array(F.struct(r["event_id"].alias("event_id"), r["event_id"].alias("first_id"), (r["enq"] + window_ms).alias("deadline"), F.lit(False).alias("deduplicated")))).otherwise(step(acc, r))
-    folded = keyed.select("queue", "idem", F.explode(F.aggregate("rows", F.array().cast(f"array<{row}>"), safe)).alias("r"))
-    return folded.select("queue", "idem", "r.*")
+    keyed = jobs.where("idem is not null").select("queue", "idem", "event_id", "enq")
+    ordered = keyed.repartition("queue", "idem").sortWithinPartitions("queue", "idem", "enq", "event_id")
+    return ordered.mapInPandas(_windows(window_ms), "queue string, idem string, event_id bigint, first_id bigint, deadline bigint, deduplicated boolean")
 
 
 def admit(jobs: DataFrame, caps: DataFrame, window_ms: int) -> DataFrame:
-    """Best-effort admission without dequeues: repeats pass with their first id, others up to the queue's cap.
+    """Best-effort admission without dequeues: an accepted job's repeats pass with its id, others up to the queue's cap.
 
-    A repeat found by the fold counts only against accepted firsts, so caps are
-    applied to firsts in order, and keys without a window to cross keep one first.
+    Without dequeues a queue that is full stays full: the last job it takes is the
+    cap-th of its firsts, and a repeat of a first behind that one, which was refused
+    and left no record, is refused as well. ``caps`` has a row for each declared queue.
     """
-    fold = dedup_fold(jobs, window_ms).select("event_id", "first_id", "deduplicated")
-    all_ = jobs.join(fold, "event_id", "left").withColumn("deduplicated", F.coalesce("deduplicated", F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("queue", "deduplicated").orderBy("enq", "event_id"))
-    placed = all_.withColumn("place", place.cast("bigint")).join(caps.select(F.col("queue").alias("__q"), "max_queue_depth"), F.col("queue") == F.col("__q"), "left").drop("__q")
-    over = F.col("max_queue_depth").isNotNull() & (F.col("place") > F.col("max_queue_depth"))
-    return placed.withColumn("status", F.when(F.col("deduplicated"), "deduplicated").when(over, "queue_full").otherwise("accepted"))
+    fold = dedup_fold(jobs, window_ms).select("event_id", "first_id", (F.col("deadline") - window_ms).alias("first_enq"), "deduplicated")
+    every = jobs.join(fold, "event_id", "left").withColumns(
+        {"deduplicated": F.coalesce("deduplicated", F.lit(False)), "first": F.struct(F.coalesce("first_enq", "enq").alias("enq"), F.coalesce("first_id", "event_id").alias("event_id"))}
+    )
+    limits = caps.select(F.col("queue").alias("__q"), "max_queue_depth")
+    most = limits.agg(F.max("max_queue_depth")).first()[0] or 0
+    # Only the first rows up to the greatest cap are ever ranked together.
+    place = F.row_number().over(Window.partitionBy("queue").orderBy("enq", "event_id"))
+    ranked = every.where(~F.col("deduplicated")).select("queue", "enq", "event_id").withColumn("place", place).where(F.col("place") <= most)
+    last = ranked.join(limits, F.col("queue") == F.col("__q")).where(F.col("place") == F.col("max_queue_depth")).select("__q", F.struct("enq", "event_id").alias("last"))
+    placed = every.join(limits.join(last, "__q", "left"), F.col("queue") == F.col("__q"), "left").drop("__q", "first_enq", "first_id")
+    cap = F.col("max_queue_depth")
+    taken = cap.isNull() | ((cap > 0) & F.coalesce(F.col("first") <= F.col("last"), F.lit(True)))
+    return placed.withColumn("status", F.when(~taken, "queue_full").when(F.col("deduplicated"), "deduplicated").otherwise("accepted"))
 
 
 def atomic_admission(jobs: DataFrame, batch: str, live: DataFrame, caps: DataFrame) -> DataFrame:
@@ -82,6 +92,16 @@ def retry_cap(base: Column, backoff: Column, attempt: Column, delay_max: Column,
     return F.when(base == 0, F.lit(0)).otherwise(F.least(F.when(backoff == "exponential", doubled).otherwise(base), bound)).cast("bigint")
 
 
+def explicit_delay(asked: Column, queue: Column, horizon: Column) -> Column:
+    """An asked delay within the schedule horizon; 0 for a job that is not in flight, whose nack will be refused."""
+    return F.when(queue.isNull(), F.lit(0)).otherwise(F.least(F.greatest(asked, F.lit(0)), horizon)).cast("bigint")
+
+
+def strategy_label(delay: Column, dead_letter: Column) -> Column:
+    """What a nack asks for: a delay of its own, the dead letters, or the queue's policy."""
+    return F.when(delay.isNotNull(), "delay").when(dead_letter, "dead_letter").otherwise("default")
+
+
 def nack_route(df: DataFrame, strategy: Column, delay: Column) -> DataFrame:
     """Where a nack sends its job: an explicit dead letter outranks exhausted attempts."""
     spent = F.col("attempt") >= F.col("max_attempts")

@@ -91,14 +91,17 @@ def next_deadline(*indexes: tuple[DataFrame, str]) -> DataFrame:
 
 
 def purge_chunk(snapshot: DataFrame, dedup: DataFrame, queue: str, most: int) -> DataFrame:
-    """What one chunk of a purge removes, by table; nothing while any job of the queue is in flight."""
+    """What one chunk of a purge removes, by table; nothing while any job of the queue is in flight.
+
+    Dedup records (queue, idempotency_key, deadline_ms) go by their timers, oldest deadline first.
+    """
     own = snapshot.where(F.col("queue") == queue)
     key = F.when(F.col("state") == "ready", F.struct((9 - F.least("priority", F.lit(9))).cast("bigint").alias("a"), F.col("enq").alias("b"), "job_id"))
     key = key.when(F.col("state") == "scheduled", F.struct(F.coalesce("sched", "enq").alias("a"), F.lit(0).cast("bigint").alias("b"), "job_id"))
     key = key.otherwise(F.struct(F.col("failed_at").alias("a"), F.lit(0).cast("bigint").alias("b"), "job_id"))
     phase = F.array_position(F.array(F.lit("ready"), F.lit("scheduled"), F.lit("dead_letter")), F.col("state"))
     rows = own.where("state <> 'inflight'").select(phase.cast("int").alias("phase"), key.alias("key"))
-    keyed = dedup.where(F.col("queue") == queue).select(F.lit(4).alias("phase"), F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("idempotency_key").alias("job_id")).alias("key"))
+    keyed = dedup.where(F.col("queue") == queue).select(F.lit(4).alias("phase"), F.struct(F.col("deadline_ms").alias("a"), F.lit(0).cast("bigint").alias("b"), F.col("idempotency_key").alias("job_id")).alias("key"))
     taken = rows.unionByName(keyed).orderBy("phase", "key").limit(most)
     busy = own.agg((F.count_if(F.col("state") == "inflight") > 0).alias("busy"))
     return taken.join(F.broadcast(busy), ~F.col("busy")).groupBy("phase").agg(F.count(F.lit(1)).alias("purged"))
@@ -109,3 +112,24 @@ def attempts(events: DataFrame) -> DataFrame:
     before = Window.partitionBy("event_id").orderBy("at", "event").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.sum((F.col("event") != "reserved").cast("int")).over(before), F.lit(0))
     return events.withColumn("attempt", (1 + ended).cast("bigint"))
+
+
+#: Upper bounds of the buckets of request times, in milliseconds.
+BUCKETS_MS = (5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000)
+
+
+def request_histogram(requests: DataFrame) -> DataFrame:
+    """Requests (method, ok, ms) by method, outcome and the number of bounds that their time exceeds."""
+    bucket = F.size(F.filter(F.array(*map(F.lit, BUCKETS_MS)), lambda b: b < F.col("ms"))).cast("bigint")
+    outcome = F.when(F.col("ok"), "ok").otherwise("error")
+    return requests.groupBy("method", outcome.alias("outcome"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def purge_status(snapshot: DataFrame, most: int) -> DataFrame:
+    """Of each queue: whether it may be purged, what one chunk takes of its jobs, and whether any remain."""
+    n, busy = F.count(F.lit(1)), F.count_if(F.col("state") == "inflight") > 0
+    return snapshot.groupBy("queue").agg(
+        F.when(busy, "failed_precondition").otherwise("purged").alias("status"),
+        F.when(busy, F.lit(0)).otherwise(F.least(n, F.lit(most))).cast("bigint").alias("purged"),
+        (~busy & (n > most)).alias("remaining"),
+    )

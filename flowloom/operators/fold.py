@@ -197,7 +197,7 @@ class Fold:
 
     def _reserve(self, body: dict, now: int) -> list[dict]:
         out: list[dict] = []
-        expires = _plus(now, max(1, int(body.get("lease_ms") or 0)))
+        expires = _plus(now, int(body.get("lease_ms") or 0))
         for queue in body["queues"]:
             order = self.ready.get(queue)
             while order and order.keys and len(out) < body["max_jobs"]:
@@ -332,7 +332,7 @@ class Fold:
         steps = [("ready", k) for k in (self.ready[queue].keys if queue in self.ready else [])]
         steps += [("scheduled", k) for k in self.scheduled.keys if self.jobs[k[1]]["queue"] == queue]
         steps += [("dead", k) for k in self.dead_order.keys if k[2] == queue]
-        steps += [("dedup", k) for k in sorted(self.dedup) if k[0] == queue]
+        steps += [("dedup", k[1:]) for k in self.dedup_timers.keys if k[1] == queue]
         for table, k in steps[:most]:
             if table == "ready":
                 self._off_ready(self.jobs[k[2]])
@@ -382,6 +382,38 @@ class Fold:
         self.audit.append({"seq": len(self.audit) + 1, "ts_ms": now, **body})
         return [{"status": "appended", "value": len(self.audit)}]
 
+    # --- what is due, and commands of several ops ---
+
+    def earliest(self) -> int | None:
+        """The first deadline of all timers and tombstones."""
+        firsts = [order.keys[0][0] for order in (self.scheduled, self.leases, self.dedup_timers) if order.keys]
+        return min([*firsts, *self.closing.values()], default=None)
+
+    def oldest_dead(self) -> int | None:
+        return self.dead_order.keys[0][0] if self.dead_order.keys else None
+
+    def delete_queue(self, queue: str, now: int, purge: bool = False, grace_ms: int = 30_000, chunk: int = PURGE_MOST) -> dict:
+        """Empty a queue under a tombstone that lasts until it ends: refused with jobs in flight, and without purge with any jobs.
+
+        The tombstone stands before the queue is looked at, and is renewed after each chunk.
+        """
+        self._close_queue({"queue": queue, "grace_ms": grace_ms}, now)
+        try:
+            waiting = self.live.get(queue, 0) - self.flying.get(queue, 0) + sum(k[2] == queue for k in self.dead_order.keys)
+            if self.flying.get(queue):
+                return {"status": "inflight", "queue": queue}
+            if waiting and not purge:
+                return {"status": "not_empty", "queue": queue}
+            purged = 0
+            while True:
+                got = self._purge_queue_chunk({"queue": queue, "max": chunk}, now)[0]
+                purged += got["value"]
+                if got["reason"] is None:
+                    return {"status": "deleted", "queue": queue, "value": purged}
+                self._close_queue({"queue": queue, "grace_ms": grace_ms}, now)
+        finally:
+            self._open_queue({"queue": queue}, now)
+
     # --- state ---
 
     def rows(self) -> Iterator[dict]:

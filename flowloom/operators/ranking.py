@@ -49,8 +49,7 @@ def reserve_from(snapshot: DataFrame, queues: list[str], max_jobs: int, lease_ms
     asked = F.array_position(F.array(*map(F.lit, queues)), F.col("queue"))
     first = reserve_top_k(snapshot.where(F.col("queue").isin(queues)), max_jobs).withColumn("asked", asked)
     taken = first.orderBy("asked", "place").limit(max_jobs)
-    expires = F.when(F.lit(2**63 - 1 - now) < F.greatest(F.lit(1), F.lit(lease_ms)), F.lit(2**63 - 1)).otherwise(now + F.greatest(F.lit(1), F.lit(lease_ms)))
-    return taken.withColumn("lease_expires_at_ms", expires.cast("bigint"))
+    return taken.withColumn("lease_expires_at_ms", F.lit(min(now + lease_ms, 2**63 - 1)).cast("bigint"))
 
 
 def ready_page(snapshot: DataFrame, queue: str, after: tuple[int, int, str] | None, limit: int) -> DataFrame:

@@ -102,14 +102,71 @@ def classify_enqueue(requests: DataFrame, registry: DataFrame, strict: bool, now
         ("custom_map_too_large", total > lim("max_custom_bytes"), lim("max_custom_bytes"), total),
         ("scheduled_too_far", c["scheduled_at_ms"] > now + lim("schedule_horizon_ms"), lim("schedule_horizon_ms"), c["scheduled_at_ms"]),
     ]
-    none = F.lit(None)
-    chain = {"reason": none.cast("string"), "limit": none.cast("bigint"), "actual": none.cast("bigint")}
-    for label, failed, limit, actual in reversed(rules):
-        failed = F.coalesce(failed, F.lit(False))
-        chain["reason"] = F.when(failed, label).otherwise(chain["reason"])
-        chain["limit"] = F.when(failed, (limit if limit is not None else none).cast("bigint")).otherwise(chain["limit"])
-        chain["actual"] = F.when(failed, (actual if actual is not None else none).cast("bigint")).otherwise(chain["actual"])
-    return df.withColumns(chain | {"message": message})
+    # Which rule fails first is decided once; its label and numbers are then looked up.
+    first = F.lit(None).cast("int")
+    for k, (_, failed, _, _) in reversed(list(enumerate(rules, 1))):
+        first = F.when(F.coalesce(failed, F.lit(False)), k).otherwise(first)
+    number = lambda c: (F.lit(None) if c is None else c).cast("bigint")
+    named = df.withColumn("__rule", first)
+    pick = lambda values: F.when(F.col("__rule").isNotNull(), F.element_at(F.array(*values), F.col("__rule")))
+    found = {
+        "reason": pick([F.lit(label) for label, *_ in rules]),
+        "limit": pick([number(limit) for _, _, limit, _ in rules]),
+        "actual": pick([number(actual) for *_, actual in rules]),
+        "message": message,
+    }
+    return named.withColumns(found).drop("__rule")
+
+
+def _listed(names: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(names, _quoted), ", "), F.lit("]"))
+
+
+def _quoted(name: Column) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(name, F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def rejection_detail() -> Column:
+    """The sentence for a classified request's reason, of its columns reason, limit, actual and message; null if accepted."""
+    limit, actual = F.col("limit").cast("string"), F.col("actual").cast("string")
+    measured = lambda what, unit="bytes": F.concat(F.lit(f"{what} "), actual, F.lit(f" {unit}; the limit is "), limit)
+    long_key = first_long_key(F.col("custom"), F.col("limit"))
+    texts = {
+        "invalid_request": F.col("message"),
+        "unknown_queue": F.concat(F.lit("queue "), _quoted(F.col("queue")), F.lit(" is not declared (strict mode)")),
+        "queue_name_too_long": measured("queue name is"),
+        "job_type_name_too_long": measured("job_type is"),
+        "job_type_not_allowed": F.concat(F.lit("job_type "), _quoted(F.col("job_type")), F.lit(" is not allowed; allowed: "), _listed(F.col("lim_allowed_job_types"))),
+        "idempotency_key_too_long": measured("idempotency_key is"),
+        "payload_too_large": measured("payload is"),
+        "encoding_not_allowed": F.concat(F.lit("encoding "), _quoted(F.col("encoding")), F.lit(" is not allowed; allowed: "), _listed(F.col("lim_allowed_encodings"))),
+        "custom_entries_too_many": measured("custom map has", "entries"),
+        "custom_key_too_long": F.concat(F.lit("custom key "), _quoted(long_key), F.lit(" is "), actual, F.lit(" bytes; the limit is "), limit),
+        "custom_map_too_large": measured("custom map is"),
+        "scheduled_too_far": F.lit("scheduled_at exceeds the schedule horizon"),
+        "queue_closing": F.concat(F.lit("queue "), _quoted(F.col("queue")), F.lit(" is being deleted and is not accepting new jobs")),
+        "queue_full": F.concat(F.lit("queue "), _quoted(F.col("queue")), F.lit(" is at capacity (max_queue_depth="), limit, F.lit(")")),
+    }
+    out = F.lit(None).cast("string")
+    for reason, text in texts.items():
+        out = F.when(F.col("reason") == reason, text).otherwise(out)
+    return out
+
+
+def batch_message(jobs: Column, most: int = DEFAULTS["max_enqueue_batch"]) -> Column:
+    """The text for a batch of the wrong number of jobs, else null."""
+    return F.when(jobs < 1, "batch must contain at least one job").when(jobs > most, f"batch exceeds max_enqueue_batch ({most})")
+
+
+def reserve_queues_message(queues: Column, declared: Column, strict: bool, most: int = DEFAULTS["max_reserve_queues"], name_bytes: int = DEFAULTS["max_queue_name_bytes"]) -> Column:
+    """The text for a reservation over too many, too long named or, in strict mode, undeclared queues, else null."""
+    long_name = F.get(F.filter(queues, lambda q: F.octet_length(q) > name_bytes), F.lit(0))
+    unknown = F.filter(queues, lambda q: ~F.array_contains(declared, q))
+    return (
+        F.when(F.size(queues) > most, f"reserve exceeds max_reserve_queues ({most})")
+        .when(long_name.isNotNull(), F.concat(F.lit("queue name "), _quoted(long_name), F.lit(f" exceeds max_queue_name_bytes ({name_bytes})")))
+        .when(F.lit(strict) & (F.size(unknown) > 0), F.concat(F.lit("queue(s) not declared (strict mode): "), _listed(unknown)))
+    )
 
 
 def rejections(classified: DataFrame) -> DataFrame:

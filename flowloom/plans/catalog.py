@@ -7,9 +7,7 @@ cannot have one without the reader seeing whether it has the other.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..operators import admission as ad, counters as ct, ranking as rk, validation as va
@@ -20,26 +18,14 @@ from ..sources.tables import (
 )
 from ..streaming.replay_stream import run_replay
 from ..streaming.sinks import stats_frames
+from .register import Query, register_into
 from .replay import replay
 
-Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+query = register_into(_QUERIES, _SQL)
 SQL_PAYLOAD_LIMIT = 4000
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return f(spark, sf_dir)
-
-        _QUERIES[f.__name__] = run
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
+HOUR = 3_600_000
 
 
 def _snap(select: str, *more: str) -> str:
@@ -144,9 +130,9 @@ def drain_all_queues(spark, sf_dir):
 
 @query(_snap("""select id job_id, queue, attempt, case when queue is null then 'not_found' when reserved <= 1705320000000 and attempt = 1 then 'inflight'
 when coalesce(sched, enq) > 1705320000000 then 'scheduled' else 'ready' end found_state
-from (select cast(event_id * 3 as varchar) id from events where event_id % 7 = 0) left join (select * from s where state <> 'dead_letter') on id = job_id"""))
+from (select cast(event_id * 3 as varchar) id from events) left join (select * from s where state <> 'dead_letter') on id = job_id"""))
 def get_job(spark, sf_dir):
-    asked = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 7 = 0").select((F.col("event_id") * 3).cast("string").alias("job_id"))
+    asked = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") * 3).cast("string").alias("job_id"))
     return rk.get_job(snapshot_view(spark, sf_dir), asked, T0).select("job_id", "queue", "attempt", "found_state")
 
 
@@ -158,11 +144,11 @@ def peek_with_payload(spark, sf_dir):
     return joined.select("job_id", "queue", "place", size.alias("size"), "encoding", (size <= fn.INLINE_BYTES).alias("inline"))
 
 
-@query(_snap("select job_id, lease_end from s where state = 'inflight' and attempt = 1 and lease_end <= 1705320020000"))
+@query(_snap("select job_id, lease_end from s where state = 'inflight' and attempt = 1 and lease_end <= 1705330800000"))
 def leases_checked(spark, sf_dir):
     """Lease timers that still match their job's lease."""
     s = snapshot_view(spark, sf_dir).where("state = 'inflight'")
-    timers = s.select("job_id", F.col("lease_end").alias("deadline_ms")).where(F.col("deadline_ms") <= T0 + 20000)
+    timers = s.select("job_id", F.col("lease_end").alias("deadline_ms")).where(F.col("deadline_ms") <= T0 + 3 * HOUR)
     held = s.select(F.col("job_id").alias("id"), "lease_end", "attempt")
     return timers.join(held, (F.col("job_id") == F.col("id")) & (F.col("deadline_ms") == F.col("lease_end"))).where("attempt = 1").select("job_id", "lease_end")
 
@@ -213,14 +199,15 @@ def _requests(spark, sf_dir):
     value = lambda **v: F.struct(*[F.lit(v.get(k)).cast(t).alias(k) for k, t in (("s", "string"), ("d", "double"), ("i", "bigint"), ("b", "boolean"))])
     key = F.when(e % 53 == 0, F.repeat(F.lit("k"), 300)).otherwise(F.lit("key"))
     text = F.struct(F.repeat(F.lit("v"), (F.col("k") * 400).cast("int")).alias("s"), F.lit(None).cast("double").alias("d"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("boolean").alias("b"))
-    custom = F.when(e % 3 == 0, F.map_from_arrays(F.array(key, F.lit("n"), F.lit("f")), F.array(text, value(i=1), value(b=True))).cast(_CUSTOM))
+    many = F.map_from_arrays(F.array(*[F.lit(f"k{i}") for i in range(1, 66)]), F.array_repeat(value(i=1), 65)).cast(_CUSTOM)
+    custom = F.when(e % 151 == 0, many).when(e % 3 == 0, F.map_from_arrays(F.array(key, F.lit("n"), F.lit("f")), F.array(text, value(i=1), value(b=True))).cast(_CUSTOM))
     return j.select(
         "event_id",
         F.when(e % 101 == 0, "..").when(e % 103 == 0, F.concat(F.col("queue"), F.lit("/x"))).when(e % 107 == 0, F.repeat(F.lit("q"), 600)).otherwise(F.col("queue")).alias("queue"),
         F.when(e % 109 == 0, "").when(e % 113 == 0, F.repeat(F.lit("é"), 200)).otherwise(F.col("job_type")).alias("job_type"),
         F.when(e % 2 == 0, F.repeat(F.lit("p"), (F.col("k") * 90).cast("int"))).alias("payload"),
         F.when(e % 127 != 0, F.element_at(F.array(*map(F.lit, ("en", "de", "fr"))), (e % 3 + 1).cast("int"))).alias("encoding"),
-        F.when(e % 131 == 0, "").otherwise(F.col("idem")).alias("idempotency_key"),
+        F.when(e % 131 == 0, "").when(e % 149 == 0, F.repeat(F.lit("i"), 300)).otherwise(F.col("idem")).alias("idempotency_key"),
         F.when(e % 137 == 0, 12).otherwise(F.col("priority")).cast("bigint").alias("priority"),
         F.when(e % 139 == 0, 0).otherwise(F.col("max_attempts")).cast("bigint").alias("max_attempts"),
         custom.alias("custom"),
@@ -234,11 +221,11 @@ _REQUESTS_SQL = """q0 as (select event_id, enq, k,
   case when event_id % 109 = 0 then '' when event_id % 113 = 0 then repeat('é', 200) else job_type end job_type,
   case when event_id % 2 = 0 then repeat('p', k * 90) end payload,
   case when event_id % 127 <> 0 then ['en', 'de', 'fr'][event_id % 3 + 1] end encoding,
-  case when event_id % 131 = 0 then '' else idem end idempotency_key,
+  case when event_id % 131 = 0 then '' when event_id % 149 = 0 then repeat('i', 300) else idem end idempotency_key,
   case when event_id % 137 = 0 then 12 else priority end priority,
   case when event_id % 139 = 0 then 0 else max_attempts end max_attempts,
-  case when event_id % 3 = 0 then 3 end entries, case when event_id % 3 = 0 and event_id % 53 = 0 then 300 when event_id % 3 = 0 then 3 end key_bytes,
-  case when event_id % 3 = 0 then case when event_id % 53 = 0 then 300 else 3 end + 1 + 1 + k * 400 + 8 + 1 end custom_bytes,
+  case when event_id % 151 = 0 then 65 when event_id % 3 = 0 then 3 end entries, case when event_id % 151 = 0 then 3 when event_id % 3 = 0 and event_id % 53 = 0 then 300 when event_id % 3 = 0 then 3 end key_bytes,
+  case when event_id % 151 = 0 then 706 when event_id % 3 = 0 then case when event_id % 53 = 0 then 300 else 3 end + 1 + 1 + k * 400 + 8 + 1 end custom_bytes,
   case when event_id % 19 = 0 then enq + k * 100000000 end scheduled_at_ms from j),
 q1 as (select q0.*, r.queue is not null declared, r.allowed_job_types, r.allowed_encodings, coalesce(r.max_payload_bytes, 1048576) max_payload from q0 left join r on r.queue = q0.queue),
 q2 as (select *, case
@@ -251,9 +238,9 @@ q2 as (select *, case
   when payload is not null and allowed_encodings is not null and not list_contains(allowed_encodings, coalesce(encoding, '')) then 'encoding_not_allowed'
   when entries > 64 then 'custom_entries_too_many' when key_bytes > 256 then 'custom_key_too_long' when custom_bytes > 16384 then 'custom_map_too_large'
   when scheduled_at_ms > enq + 2592000000 then 'scheduled_too_far' end reason from q1),
-q as (select *, case reason when 'queue_name_too_long' then 512 when 'job_type_name_too_long' then 256 when 'payload_too_large' then max_payload when 'custom_key_too_long' then 256
+q as (select *, case reason when 'queue_name_too_long' then 512 when 'job_type_name_too_long' then 256 when 'payload_too_large' then max_payload when 'idempotency_key_too_long' then 256 when 'custom_entries_too_many' then 64 when 'custom_key_too_long' then 256
   when 'custom_map_too_large' then 16384 when 'scheduled_too_far' then 2592000000 end::bigint "limit",
-  case reason when 'queue_name_too_long' then strlen(queue) when 'job_type_name_too_long' then strlen(job_type) when 'payload_too_large' then strlen(payload)
+  case reason when 'queue_name_too_long' then strlen(queue) when 'job_type_name_too_long' then strlen(job_type) when 'payload_too_large' then strlen(payload) when 'idempotency_key_too_long' then strlen(idempotency_key) when 'custom_entries_too_many' then entries
   when 'custom_key_too_long' then key_bytes when 'custom_map_too_large' then custom_bytes when 'scheduled_too_far' then scheduled_at_ms end::bigint actual from q2)"""
 
 
@@ -371,9 +358,10 @@ def dedup_counts(spark, sf_dir):
     return d.groupBy("queue").agg(F.count(F.lit(1)).alias("keyed"), F.count_if("deduplicated").alias("deduplicated"), F.countDistinct("first_id").alias("firsts"))
 
 
-@query(_dedup("""select event_id, case when deduplicated then 'deduplicated' when max_queue_depth is not null and place > max_queue_depth then 'queue_full' else 'accepted' end status
-from (select *, row_number() over (partition by queue, deduplicated order by enq, event_id) place from m)""", 5 * DAY, registry_sql(),
-"m as (select j.event_id, j.queue, j.enq, coalesce(d.deduplicated, false) deduplicated, r.max_queue_depth from j left join d on d.event_id = j.event_id left join r on r.queue = j.queue)"))
+@query(_dedup("""select m.event_id, case when max_queue_depth is not null and f.place > max_queue_depth then 'queue_full' when m.deduplicated then 'deduplicated' else 'accepted' end status
+from m join f on f.event_id = m.first_id""", 5 * DAY, registry_sql(),
+"m as (select j.event_id, j.queue, j.enq, coalesce(d.first_id, j.event_id) first_id, coalesce(d.deduplicated, false) deduplicated, r.max_queue_depth from j left join d on d.event_id = j.event_id left join r on r.queue = j.queue)",
+"f as (select event_id, row_number() over (partition by queue order by enq, event_id) place from m where not deduplicated)"))
 def admission_no_dequeue(spark, sf_dir):
     return ad.admit(jobs_view(spark, sf_dir), registry_view(spark), 5 * DAY).select("event_id", "status")
 
@@ -387,11 +375,11 @@ def atomic_admission(spark, sf_dir):
 
 
 _FENCE_SQL = """select id job_id, asked_attempt, case when held is null then 'not_found' when asked_attempt <> held then 'failed_precondition' else 'ok' end outcome
-from (select job_id id, 1 + (event_id % 4 = 0)::bigint asked_attempt from j) left join (select job_id, attempt held from s where state = 'inflight') on id = job_id"""
+from (select job_id id, 1 + (event_id % 3 = 0)::bigint asked_attempt from j) left join (select job_id, attempt held from s where state = 'inflight') on id = job_id"""
 
 
 def _fenced(spark, sf_dir):
-    asked = jobs_view(spark, sf_dir).select("job_id", (1 + (F.col("event_id") % 4 == 0).cast("bigint")).alias("asked_attempt"))
+    asked = jobs_view(spark, sf_dir).select("job_id", (1 + (F.col("event_id") % 3 == 0).cast("bigint")).alias("asked_attempt"))
     return ad.lease_outcomes(asked, snapshot_view(spark, sf_dir).where("state = 'inflight'"))
 
 
@@ -436,15 +424,15 @@ def nack_routing(spark, sf_dir):
 # --- sweep phases ---------------------------------------------------------------------------------
 
 
-@query(_snap("select job_id, queue, case when attempt >= max_attempts then 'dead_letter' else 'ready' end route, lease_end from s where state = 'inflight' and lease_end <= 1705320015000 order by lease_end, job_id limit 100"))
+@query(_snap("select job_id, queue, case when attempt >= max_attempts then 'dead_letter' else 'ready' end route, lease_end from s where state = 'inflight' and lease_end <= 1705330800000 order by lease_end, job_id limit 100"))
 def lease_expiry_sweep(spark, sf_dir):
-    got = ct.due(snapshot_view(spark, sf_dir).where("state = 'inflight'"), "lease_end", T0 + 15000, 100, "job_id")
+    got = ct.due(snapshot_view(spark, sf_dir).where("state = 'inflight'"), "lease_end", T0 + 3 * HOUR, 100, "job_id")
     return got.select("job_id", "queue", F.when(F.col("attempt") >= F.col("max_attempts"), "dead_letter").otherwise("ready").alias("route"), "lease_end")
 
 
-@query(_snap("select job_id, queue, enq, attempt, sched from s where state = 'scheduled' and sched <= 1705321800000 order by sched, job_id limit 100"))
+@query(_snap("select job_id, queue, enq, attempt, sched from s where state = 'scheduled' and sched <= 1705334400000 order by sched, job_id limit 100"))
 def promote_due(spark, sf_dir):
-    return ct.due(snapshot_view(spark, sf_dir).where("state = 'scheduled'"), "sched", T0 + 1_800_000, 100, "job_id").select("job_id", "queue", "enq", "attempt", "sched")
+    return ct.due(snapshot_view(spark, sf_dir).where("state = 'scheduled'"), "sched", T0 + 4 * HOUR, 100, "job_id").select("job_id", "queue", "enq", "attempt", "sched")
 
 
 @query(_dedup("select queue, idem, max(deadline)::bigint deadline from d group by queue, idem having max(deadline) <= 1705320000000 order by deadline, queue, idem limit 200", 5 * DAY))
@@ -468,11 +456,12 @@ def next_deadline(spark, sf_dir):
 
 @query(_snap("""select phase, count(*) purged from (select phase from (
   select case state when 'ready' then 1 when 'scheduled' then 2 else 3 end::int phase, case state when 'ready' then 9 - least(priority, 9) when 'scheduled' then sched else failed_at end a, case state when 'ready' then enq else 0 end b, job_id c from s where queue = 'signup' and state <> 'inflight'
-  union all select 4, 0, 0, idem from j where queue = 'signup' and idem is not null group by idem) order by phase, a, b, c limit 900)
-where not exists (select 1 from s where queue = 'signup' and state = 'inflight') group by phase"""))
+  union all select 4, max(deadline), 0, idem from d where queue = 'signup' group by idem) order by phase, a, b, c limit 900)
+group by phase""", _DEDUP_SQL.format(w=5 * DAY).removeprefix("recursive ")).replace("with ", "with recursive ", 1))
 def purge_chunk(spark, sf_dir):
-    keys = jobs_view(spark, sf_dir).where("idem is not null").select("queue", F.col("idem").alias("idempotency_key")).distinct()
-    return ct.purge_chunk(snapshot_view(spark, sf_dir), keys, "signup", 900)
+    """A chunk of a queue whose leases have all ended."""
+    records = ad.dedup_fold(jobs_view(spark, sf_dir), 5 * DAY).groupBy("queue", F.col("idem").alias("idempotency_key")).agg(F.max("deadline").alias("deadline_ms"))
+    return ct.purge_chunk(snapshot_view(spark, sf_dir).where("state <> 'inflight'"), records, "signup", 900)
 
 
 # --- metrics --------------------------------------------------------------------------------------
@@ -503,9 +492,18 @@ union all select queue, lease_end, 'dead_lettered', 'lease_expired' from j where
 _COUNT = lambda names: ", ".join(f"count(*) filter (event = '{n}') {n}" for n in names)
 
 
-@query(_jobs(f"select queue, {_COUNT(('enqueued', 'reserved', 'acked', 'nacked', 'deduplicated', 'promotions', 'lease_redeliveries', 'dedup_expirations'))} from o group by queue", _OUTCOMES_SQL))
+@query(_dedup(f"select queue, {_COUNT(('enqueued', 'reserved', 'acked', 'nacked', 'deduplicated', 'promotions', 'lease_redeliveries', 'dedup_expirations'))} from e group by queue", 5 * DAY, _OUTCOMES_SQL,
+"""e as (select queue, event from o union all select queue, 'deduplicated' from d join j using (event_id, queue) where deduplicated and enq <= 1705320000000
+union all select queue, 'dedup_expirations' from (select distinct queue, first_id, deadline from d) where deadline <= 1705320000000)"""))
 def counters_by_queue(spark, sf_dir):
-    return ct.cycle_counters(_outcomes(spark, sf_dir))
+    """Counters of lease outcomes, of repeats that met a record, and of records that ran out."""
+    d = ad.dedup_fold(jobs_view(spark, sf_dir), 5 * DAY)
+    none = F.lit(None).cast("string").alias("cause")
+    at = jobs_view(spark, sf_dir).select("event_id", "enq")
+    repeats = d.where("deduplicated").join(at, "event_id").where(F.col("enq") <= T0).select("queue", F.col("enq").alias("at"), F.lit("deduplicated").alias("event"), none)
+    # A record begins with each first, which is the one row of its window that is no repeat.
+    ended = d.where(~F.col("deduplicated") & (F.col("deadline") <= T0)).select("queue", F.col("deadline").alias("at"), F.lit("dedup_expirations").alias("event"), none)
+    return ct.cycle_counters(_outcomes(spark, sf_dir).unionByName(repeats).unionByName(ended))
 
 
 @query(_jobs("select queue, cause, count(*) dead_lettered from o where event = 'dead_lettered' group by queue, cause", _OUTCOMES_SQL))
@@ -533,9 +531,6 @@ cu as (select queue, ts_ms, {", ".join(f"sum({n}) over w {n}" for n in names)} f
 rt as (select queue, ts_ms, {", ".join(f"coalesce(round(greatest({n} - lag({n}) over w, 0)::double / greatest((ts_ms - lag(ts_ms) over w) / 1000.0::double, 0.001::double), 2), 0.0)::double {n}_rate" for n in names)} from cu window w as (partition by queue order by ts_ms))"""
 
 
-HOUR = 3_600_000
-
-
 @query(_jobs("select * from rt", _rates_sql(HOUR)))
 def rates_hourly(spark, sf_dir):
     return ct.rates(ct.samples(_outcomes(spark, sf_dir), HOUR))
@@ -573,7 +568,8 @@ def overview(spark, sf_dir):
     return joined.select("queue", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("ready", "live", "enqueued", "acked")])
 
 
-@query()
+@query(_jobs("""select ts_ms, '{"ts_ms":' || ts_ms::varchar || ',"queues":[' || string_agg('{"queue":"' || queue || '","enqueued_rate":' || enqueued_rate::varchar || ',"acked_rate":' || acked_rate::varchar
+|| ',"nacked_rate":' || nacked_rate::varchar || ',"dead_lettered_rate":' || dead_lettered_rate::varchar || '}', ',' order by queue) || ']}' frame from rt group by ts_ms""", _rates_sql(HOUR)))
 def stats_frames_hourly(spark, sf_dir):
     """The frames of the stats stream, a JSON text for each hour."""
     return stats_frames(rates_hourly(spark, sf_dir))
@@ -600,9 +596,9 @@ def frame_monotonic(spark, sf_dir):
     return ct.monotonic_frames(frames)
 
 
-@query("select queue, count(*) empty_reserves from (select unnest([event_type, 'refund']) queue from events where event_id % 11 = 0) group by queue")
+@query("select queue, count(*) empty_reserves from (select unnest([event_type, 'refund']) queue from events) group by queue")
 def reserve_empty(spark, sf_dir):
-    timeouts = jobs_view(spark, sf_dir).where("event_id % 11 = 0").select(F.explode(F.array(F.col("queue"), F.lit("refund"))).alias("queue"))
+    timeouts = jobs_view(spark, sf_dir).select(F.explode(F.array(F.col("queue"), F.lit("refund"))).alias("queue"))
     return timeouts.groupBy("queue").agg(F.count(F.lit(1)).alias("empty_reserves"))
 
 
@@ -625,7 +621,8 @@ def etag_sha256(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("string").alias("id"), fn.etag(F.col("props")).alias("etag"))
 
 
-@query()
+@query(_snap("""select job_id, '{"job_id":"' || job_id || '","queue":"' || queue || '","job_type":"' || job_type || '","priority":' || priority::varchar || ',"attempt":' || attempt::varchar || ',"max_attempts":' || max_attempts::varchar
+|| ',"enqueued_at_ms":' || enq::varchar || coalesce(',"scheduled_at_ms":' || sched::varchar, '') || case when state = 'inflight' then ',"lease_expires_at_ms":' || lease_end::varchar else '' end || ',"state":"' || state || '"}' json from s"""))
 def job_json(spark, sf_dir):
     s = snapshot_view(spark, sf_dir)
     return s.select("job_id", fn.job_json(F.col("state")).alias("json"))
@@ -683,10 +680,10 @@ def delete_dead_letters(spark, sf_dir):
     return ad.keyed_dead_letters(keys, dead, "deleted").groupBy("asked", "status").agg(F.count(F.lit(1)).alias("entries"))
 
 
-@query(_snap("select job_id, queue, attempt final_attempt, 'admin' cause from s where state in ('ready', 'scheduled') and event_id % 13 = 0"))
+@query(_snap("select job_id, queue, attempt final_attempt, 'admin' cause from s where state in ('ready', 'scheduled')"))
 def dead_letter_jobs(spark, sf_dir):
     """Jobs an operator buries: only ready and scheduled ones can be, with the attempt they stand at."""
-    s = snapshot_view(spark, sf_dir).where("event_id % 13 = 0 and state in ('ready', 'scheduled')")
+    s = snapshot_view(spark, sf_dir).where("state in ('ready', 'scheduled')")
     return s.select("job_id", "queue", F.col("attempt").alias("final_attempt"), F.lit("admin").alias("cause"))
 
 

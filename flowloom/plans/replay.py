@@ -2,8 +2,10 @@
 
 Queues that no op couples are folded apart. An atomic batch and a reservation
 over several queues couple theirs; ops that name a job go where the job was
-enqueued; open and close go by queue; every component gets each sweep, whose
-count is added up afterwards. A drain over all queues, or a sweep whose budget
+enqueued; open and close go by queue; every component meets each sweep, whose
+count is added up afterwards. Sweeps are a few numbers each: up to ``MOST_SWEEPS``
+are broadcast once as sorted arrays, of which a component applies only those at
+which something of it is due; beyond, each component gets a row a sweep. A drain over all queues, or a sweep whose budget
 could run out, needs the order over all queues and so one component. Audit
 records only need numbers, which are ranks.
 
@@ -15,18 +17,23 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.fold import Fold
 from ..operators.ranking import audit_numbers
+from ..sources.shared import written
 from ..sources.tables import OP_KINDS
 
 OUTCOME = "seq bigint, idx int, kind string, status string, queue string, job_id string, attempt bigint, value bigint, reason string"
 STATE = "tbl string, queue string, job_id string, key string, at_ms bigint, attempt bigint, priority int, max_attempts bigint, reason string, body string"
 TAGGED = f"component string, is_state boolean, seq bigint, idx int, kind string, status string, value bigint, {STATE}"
-#: Distinct couplings of queues up to which components are worked out on the driver.
+#: Distinct couplings of queues up to which components are worked out on the driver; beyond, by joins.
 MOST_COUPLINGS = 100_000
+#: 40 bytes each.
+MOST_SWEEPS = 1_000_000
+NEVER = -(2**63)
 ALL = ""
 
 _COLUMNS = [c.split()[0] for c in TAGGED.split(", ")]
@@ -57,13 +64,57 @@ def frame(rows: list[dict], component: str) -> pd.DataFrame:
     return pd.DataFrame([[component if c == "component" else r.get(c) for c in _COLUMNS] for r in rows], columns=_COLUMNS, dtype=object)
 
 
-def _fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    fold, rows = Fold(), []
-    for row in pdf.sort_values("seq").itertuples(index=False):
-        op = op_from(row)
-        rows += outcome_rows(op, fold.apply(op))
-    rows += fold.rows()
-    return frame(rows, key[0])
+def _folder(shared):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold, rows, at = Fold(), [], 0
+        sweeps = shared.value if shared is not None else None
+
+        def swept(end: int) -> None:
+            """Apply the sweeps before one of them, or all: those at which nothing is due do nothing."""
+            nonlocal at
+            seqs, nows, cutoffs, bodies = sweeps
+            while at < end:
+                due, dead, stop = fold.earliest(), fold.oldest_dead(), min(end, at + 1024)
+                hit = np.zeros(stop - at, bool)
+                if due is not None:
+                    hit |= nows[at:stop] >= due
+                if dead is not None:
+                    hit |= cutoffs[at:stop] >= dead
+                k = int(np.argmax(hit))
+                if not hit[k]:
+                    at = end if due is None and dead is None else stop
+                    continue
+                budget, enabled = bodies[at + k].tolist()
+                cutoff = int(cutoffs[at + k])
+                body = {"budget": budget, "retention_cutoff_ms": None if cutoff == NEVER else cutoff, "dead_letter_enabled": bool(enabled)}
+                op = {"seq": int(seqs[at + k]), "now_ms": int(nows[at + k]), "kind": "sweep", "body": body}
+                rows.extend(outcome_rows(op, fold.apply(op)))
+                at += k + 1
+
+        for row in pdf.sort_values("seq").itertuples(index=False):
+            op = op_from(row)
+            if sweeps is not None:
+                swept(int(np.searchsorted(sweeps[0], op["seq"])))
+            rows.extend(outcome_rows(op, fold.apply(op)))
+        if sweeps is not None:
+            swept(len(sweeps[0]))
+        rows.extend(fold.rows())
+        return frame(rows, key[0])
+
+    return run
+
+
+def _sweeps(ops: DataFrame) -> tuple | None:
+    """(numbers, times, cutoffs, budget and dead-letter switch) of all sweeps in order; None if they are too many to broadcast."""
+    own = ops.where("kind = 'sweep'")
+    if own.count() > MOST_SWEEPS:
+        return None
+    found = own.select(
+        "seq", F.coalesce("now_ms", F.lit(0)).alias("now"), F.coalesce("sweep.retention_cutoff_ms", F.lit(NEVER)).alias("cutoff"), F.coalesce("sweep.budget", F.lit(0)).alias("budget"),
+        F.coalesce("sweep.dead_letter_enabled", F.lit(False)).cast("bigint").alias("enabled"),
+    ).toArrow().sort_by("seq")
+    column = lambda c: np.asarray(found.column(c).combine_chunks()).astype(np.int64)
+    return column("seq"), column("now"), column("cutoff"), np.stack([column("budget"), column("enabled")], axis=1)
 
 
 def _couplings(ops: DataFrame) -> DataFrame:
@@ -75,8 +126,22 @@ def _couplings(ops: DataFrame) -> DataFrame:
     return several.select(F.get("q", F.lit(0)).alias("a"), F.explode("q").alias("b")).where("a <> b").distinct()
 
 
-def components(ops: DataFrame) -> dict[str, str] | None:
-    """Queue -> component for coupled queues; None if all queues are one component."""
+def _labelled(couplings: DataFrame) -> DataFrame:
+    """(q, c): the least queue that each coupled queue reaches, by rounds that also jump to the label's own label."""
+    edges = written(couplings.unionByName(couplings.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "couplings")
+    labels = written(edges.select(F.col("a").alias("q"), F.col("a").alias("c")).distinct(), "labels")
+    while True:
+        near = edges.join(labels, F.col("b") == F.col("q")).groupBy(F.col("a").alias("n")).agg(F.min("c").alias("m"))
+        less = labels.join(near, F.col("q") == F.col("n")).select("q", F.col("c").alias("old"), F.least("c", "m").alias("c"))
+        jump = less.select(F.col("q").alias("j"), F.col("c").alias("jc"))
+        after = written(less.join(jump, F.col("c") == F.col("j"), "left").select("q", "old", F.least("c", F.coalesce("jc", "c")).alias("c")), "labels")
+        labels = after.drop("old")
+        if after.where("old <> c").isEmpty():
+            return labels
+
+
+def components(ops: DataFrame) -> dict[str, str] | DataFrame | None:
+    """Queue -> component for coupled queues, as a table (q, c) if they are many; None if all queues are one component."""
     drains = F.count_if((F.col("kind") == "drain_dead_letters") & F.col("drain_dead_letters.queue").isNull())
     jobs = F.when(F.col("kind") == "enqueue", F.size("enqueue.jobs")).when(F.col("kind") == "enqueue_atomic", F.size("enqueue_atomic.jobs")).otherwise(0)
     reserved = F.when(F.col("kind") == "reserve", F.col("reserve.max_jobs")).otherwise(0)
@@ -84,9 +149,10 @@ def components(ops: DataFrame) -> dict[str, str] | None:
     # Any phase can have at most as many timers as jobs were enqueued or reserved.
     if wide or (least is not None and least < (most or 0)):
         return None
-    pairs = _couplings(ops).limit(MOST_COUPLINGS + 1).collect()
-    if len(pairs) > MOST_COUPLINGS:
-        return None
+    couplings = _couplings(ops)
+    if couplings.limit(MOST_COUPLINGS + 1).count() > MOST_COUPLINGS:
+        return _labelled(couplings)
+    pairs = couplings.collect()
     root: dict[str, str] = {}
 
     def find(x: str) -> str:
@@ -102,14 +168,14 @@ def components(ops: DataFrame) -> dict[str, str] | None:
     return {q: find(q) for q in root}
 
 
-def _routed(ops: DataFrame) -> DataFrame:
-    """Packed ops, one row for each component that needs to see them, with the component."""
+def _routed(ops: DataFrame) -> tuple[DataFrame, tuple | None]:
+    """(packed ops, one row for each component that needs to see them, with the component; sweeps that are not among them)."""
     one = components(ops)
     if one is None:
-        return packed(ops.where("kind <> 'audit_append'")).withColumn("component", F.lit(ALL))
+        return packed(ops.where("kind <> 'audit_append'")).withColumn("component", F.lit(ALL)), None
     spark = ops.sparkSession
-    table = spark.createDataFrame(list(one.items()) or [("", "")], "q string, c string")
-    homed = lambda df: df.join(F.broadcast(table), df["queue"] == table["q"], "left").withColumn("component", F.concat(F.lit("q:"), F.coalesce("c", "queue"))).drop("q", "c")
+    table = F.broadcast(spark.createDataFrame(list(one.items()) or [("", "")], "q string, c string")) if isinstance(one, dict) else one
+    homed = lambda df: df.join(table, df["queue"] == table["q"], "left").withColumn("component", F.concat(F.lit("q:"), F.coalesce("c", "queue"))).drop("q", "c")
     # Jobs of an ordinary batch may go to several components: each gets its own, with their places.
     parts = ops.where("kind = 'enqueue'").select("seq", "now_ms", F.posexplode("enqueue.jobs").alias("pos", "job"))
     parts = homed(parts.select("seq", "now_ms", "pos", F.col("job.request.queue").alias("queue"), F.to_json("job").alias("job")))
@@ -127,9 +193,13 @@ def _routed(ops: DataFrame) -> DataFrame:
     leases = ops.where("kind in ('ack', 'nack', 'extend')").withColumn("asked_id", F.coalesce("ack.job_id", "nack.job_id", "extend.job_id"))
     by_job = homed(leases.join(born, F.col("asked_id") == F.col("born_id"), "left").withColumn("queue", F.coalesce("queue", F.lit(""))))
     single = packed_with(by_queue).unionByName(packed_with(by_job)).unionByName(enqueues)
-    every = single.select("component").distinct()
-    sweeps = packed(ops.where("kind = 'sweep'")).crossJoin(F.broadcast(every))
-    return single.unionByName(sweeps)
+    sweeps = _sweeps(ops)
+    if sweeps is not None:
+        return single, sweeps
+    # Dealt by component over a join that names no key but one: rows of sweeps are the large side.
+    every = single.select("component").distinct().withColumn("one", F.lit(1))
+    each = packed(ops.where("kind = 'sweep'")).withColumn("one", F.lit(1)).join(every, "one").drop("one")
+    return single.unionByName(each), None
 
 
 def packed_with(df: DataFrame) -> DataFrame:
@@ -137,10 +207,11 @@ def packed_with(df: DataFrame) -> DataFrame:
     return df.select("seq", "now_ms", "kind", body.alias("body"), "component")
 
 
-def _restored(outcomes: DataFrame) -> DataFrame:
+def _restored(outcomes: DataFrame, ops: DataFrame) -> DataFrame:
     """Sweeps of several components as one: counts added, the jobs they moved listed after it in order."""
     swept = outcomes.where("kind = 'sweep'")
-    total = swept.where("status = 'swept'").groupBy("seq").agg(F.sum("value").alias("value"))
+    every = ops.where("kind = 'sweep'").select("seq", F.lit(0).cast("bigint").alias("value"))
+    total = swept.where("status = 'swept'").select("seq", "value").unionByName(every).groupBy("seq").agg(F.sum("value").alias("value"))
     head = total.select("seq", F.lit(0).alias("idx"), F.lit("sweep").alias("kind"), F.lit("swept").alias("status"), *[F.lit(None).cast(t).alias(n) for n, t in (("queue", "string"), ("job_id", "string"), ("attempt", "bigint"))], "value", F.lit(None).cast("string").alias("reason"))
     moved = swept.where("status <> 'swept'")
     return outcomes.where("kind <> 'sweep'").unionByName(head).unionByName(moved)
@@ -148,9 +219,11 @@ def _restored(outcomes: DataFrame) -> DataFrame:
 
 def replay(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, state) of an op log; state rows are tagged with their table."""
-    folded = _routed(ops).groupBy("component").applyInPandas(_fold, TAGGED)
+    routed, sweeps = _routed(ops)
+    shared = ops.sparkSession.sparkContext.broadcast(sweeps) if sweeps is not None else None
+    folded = routed.groupBy("component").applyInPandas(_folder(shared), TAGGED)
     names = [c.split()[0] for c in OUTCOME.split(", ")]
-    outcomes = _restored(folded.where("not is_state").select(*names))
+    outcomes = _restored(folded.where("not is_state").select(*names), ops)
     numbered = audit_numbers(ops.where("kind = 'audit_append'").select(F.col("seq").alias("op_seq"), "now_ms", "audit_append"), "op_seq")
     audits = numbered.select(
         F.col("op_seq").alias("seq"), F.lit(0).alias("idx"), F.lit("audit_append").alias("kind"), F.lit("appended").alias("status"),

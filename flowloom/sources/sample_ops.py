@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.ranking import audit_numbers
-from .tables import OP_KINDS, OPS, jobs_view
+from .tables import LEASE_MS, OP_KINDS, OPS, jobs_view
 
 HOUR = 3_600_000
 
@@ -26,14 +26,14 @@ def sample_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     cap = F.when(F.col("queue") == "click", 300)
     limits = F.struct(F.col("priority").cast("int").alias("priority"), F.col("max_attempts").alias("max_attempts"), F.lit(86_400_000).cast("bigint").alias("dedup_window_ms"), cap.cast("bigint").alias("max_queue_depth"))
     enqueue = F.struct(F.array(F.struct("job_id", request.alias("request"), limits.alias("limits"))).alias("jobs"))
-    reserve = F.struct(F.array("queue").alias("queues"), F.lit(30_000).cast("bigint").alias("lease_ms"), F.lit(1).cast("bigint").alias("max_jobs"))
+    reserve = F.struct(F.array("queue").alias("queues"), F.lit(LEASE_MS).cast("bigint").alias("lease_ms"), F.lit(1).cast("bigint").alias("max_jobs"))
     ack = F.struct("job_id", F.lit(1).cast("bigint").alias("attempt"))
     nack = F.struct(
         "job_id", F.lit(1).cast("bigint").alias("attempt"), F.lit("failed").alias("reason"), F.when(F.col("oc") == 8, "dead_letter").otherwise("default").alias("strategy"),
         (F.col("k") * 100).alias("retry_delay_ms"), F.lit(True).alias("dead_letter_enabled"),
     )
     hours = j.select((F.floor(F.col("enq") / HOUR) * HOUR + HOUR).cast("bigint").alias("at")).distinct().withColumn("event_id", F.lit(0).cast("bigint"))
-    sweep = F.struct(F.lit(1_000_000).cast("bigint").alias("budget"), (F.col("at") - 7 * 24 * HOUR).alias("retention_cutoff_ms"), F.lit(True).alias("dead_letter_enabled"))
+    sweep = F.struct(F.lit(1 << 53).cast("bigint").alias("budget"), (F.col("at") - 7 * 24 * HOUR).alias("retention_cutoff_ms"), F.lit(True).alias("dead_letter_enabled"))
     audit = F.struct(F.concat(F.lit("a"), (F.col("user_id") % 5).cast("string")).alias("actor"), F.lit("admin").alias("role"), F.lit("job.enqueue").alias("action"), F.lit("{}").alias("details_json"))
     parts = [
         _ops(j, "enqueue", F.col("enq"), 0, enqueue),

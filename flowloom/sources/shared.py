@@ -7,14 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
-FALLBACK = "file:///tmp/checkpoints/flowloom"
+#: Used only where the session names no folder and all of it runs on one machine, as in tests.
+ONE_MACHINE = "file:///tmp/checkpoints/flowloom"
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, removed when the driver ends."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = ONE_MACHINE
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: The instant at which sample snapshots are taken.
+#: The instant at which sample snapshots are taken, and the sample script's lease and steps of waiting, acting and
+#: scheduling: long enough for some jobs of every queue to be in every state at T0.
 T0 = 1_705_320_000_000
+LEASE_MS, WAIT_MS, ACT_MS, SCHEDULE_MS = 21_600_000, 60_000, 300_000, 600_000
 
 _CUSTOM = "map<string,struct<s:string,d:double,i:bigint,b:boolean>>"
 _TRACE = "struct<traceparent:string,tracestate:string>"
@@ -92,25 +94,25 @@ def jobs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             "priority": F.col("k") % 10,
             "max_attempts": 1 + F.col("user_id") % 3,
             "job_type": F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")),
-            "sched": F.when(F.col("event_id") % 5 == 0, F.col("enq") + F.col("k") * 60000),
+            "sched": F.when(F.col("event_id") % 5 == 0, F.col("enq") + F.col("k") * SCHEDULE_MS),
             "idem": F.when(F.col("event_id") % 4 == 0, F.concat_ws("-", F.col("user_id").cast("string"), F.col("k").cast("string"))),
         }
     )
-    j = j.withColumn("reserved", F.greatest("enq", F.coalesce("sched", "enq")) + 1000 * (F.col("event_id") % 97))
+    j = j.withColumn("reserved", F.greatest("enq", F.coalesce("sched", "enq")) + WAIT_MS * (F.col("event_id") % 97))
     return j.withColumns(
-        {"lease_end": F.col("reserved") + 30000, "oc": F.col("event_id") % 10, "done": F.col("reserved") + 500 * (F.col("event_id") % 80)}
+        {"lease_end": F.col("reserved") + LEASE_MS, "oc": F.col("event_id") % 10, "done": F.col("reserved") + ACT_MS * (F.col("event_id") % 80)}
     )
 
 
 #: The same view for the checking engine, as the head of a WITH.
-JOBS_SQL = """
+JOBS_SQL = f"""
 j0 as (select event_id, user_id, value, cast(event_id as varchar) job_id, event_type queue,
          cast(json_extract_string(props, '$.k') as bigint) k, (epoch_us(ts) // 1000) enq from events),
 j1 as (select *, k % 10 priority, 1 + user_id % 3 max_attempts, 'u' || cast(user_id % 7 as varchar) job_type,
-         case when event_id % 5 = 0 then enq + k * 60000 end sched,
+         case when event_id % 5 = 0 then enq + k * {SCHEDULE_MS} end sched,
          case when event_id % 4 = 0 then cast(user_id as varchar) || '-' || cast(k as varchar) end idem from j0),
-j2 as (select *, greatest(enq, coalesce(sched, enq)) + 1000 * (event_id % 97) reserved from j1),
-j as (select *, reserved + 30000 lease_end, event_id % 10 oc, reserved + 500 * (event_id % 80) done from j2)"""
+j2 as (select *, greatest(enq, coalesce(sched, enq)) + {WAIT_MS} * (event_id % 97) reserved from j1),
+j as (select *, reserved + {LEASE_MS} lease_end, event_id % 10 oc, reserved + {ACT_MS} * (event_id % 80) done from j2)"""
 
 
 def snapshot_view(spark: SparkSession, sf_dir: str, now: int = T0) -> DataFrame:

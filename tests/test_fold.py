@@ -133,6 +133,31 @@ def test_purge_takes_tables_in_order_and_tells_what_remains():
     assert (last["value"], last["reason"]) == (1, None) and not list(log.fold.rows())
 
 
+def test_purge_takes_dedup_records_by_deadline():
+    log = Log()
+    log("enqueue", T, jobs=[job("a", "q", key="z", window=100), job("b", "q", key="a", window=900)])
+    assert log("purge_queue_chunk", T, queue="q", max=3)[0]["reason"] == "remaining"
+    assert [r["key"] for r in log.table("dedup")] == ["a"]
+
+
+def test_a_lease_of_zero_ends_at_once():
+    log = Log()
+    log("enqueue", T, jobs=[job("a", "q")])
+    assert log("reserve", T, queues=["q"], lease_ms=0, max_jobs=1)[0]["value"] == T
+    assert log.status("sweep", T, budget=1, dead_letter_enabled=True) == ["swept", "redelivered"]
+
+
+def test_delete_queue():
+    log = Log()
+    log("enqueue", T, jobs=[job(str(i), "q", key=str(i)) for i in range(5)] + [job("x", "other")])
+    assert log.fold.delete_queue("q", T)["status"] == "not_empty" and not log.fold.closing
+    log("reserve", T, queues=["q"], lease_ms=10, max_jobs=1)
+    assert log.fold.delete_queue("q", T, purge=True)["status"] == "inflight" and not log.fold.closing
+    log("ack", T, job_id="0", attempt=1)
+    assert log.fold.delete_queue("q", T, purge=True, chunk=2) == {"status": "deleted", "queue": "q", "value": 9}
+    assert {r["queue"] for r in log.fold.rows() if r.get("queue")} == {"other"} and log.fold.delete_queue("q", T)["value"] == 0
+
+
 def random_ops(seed, n=300):
     rng, now, ops, live = random.Random(seed), T, [], []
     for seq in range(1, n + 1):

@@ -59,8 +59,28 @@ def test_classify(spark, change, reason, actual):
 
 
 def test_payload_text(spark):
-    df = spark.createDataFrame([(bytearray(b'{"b": 1}'), "application/json"), (bytearray("é".encode()), "text"), (bytearray(b"\xff\x00"), "text"), (bytearray(b"{"), "json")], "data binary, encoding string")
-    assert [r[0] for r in df.select(fn.payload_text(F.col("data"), F.col("encoding"))).collect()] == ['{"b":1}', "é", "FF00", "{"]
+    rows = [(b'{"b": 1}', "application/json"), ("é".encode(), "text"), (b"\xff\x00A", "text"), (b"{", "json"), (b"plain", ""), (b"plain", None), (b"ab", "image/png"), (b"", "x"), (bytes(range(40)), "x")]
+    df = spark.createDataFrame([(bytearray(d), e) for d, e in rows], "data binary, encoding string")
+
+    def dump(d):
+        return "\n".join(f"{o:08x}  {' '.join(f'{x:02x}' for x in d[o : o + 16]):<47}  {''.join(chr(x) if 0x20 <= x < 0x7F else '.' for x in d[o : o + 16])}" for o in range(0, len(d), 16))
+
+    want = ['{"b":1}', "é", dump(rows[2][0]), "{", "plain", "plain", dump(b"ab"), "", dump(bytes(range(40)))]
+    assert [r[0] for r in df.select(fn.payload_text(F.col("data"), F.col("encoding"))).collect()] == want
+    long = spark.createDataFrame([(bytearray(b"x" * 5000),)], "data binary").select(fn.hex_dump(F.col("data"))).first()[0]
+    assert len(long.split("\n")) == 256
+
+
+def test_custom_maps_both_ways(spark):
+    text = '{"a":1,"b":1.5,"c":"x \\"y\\"","d":true}'
+    assert one(spark, fn.custom_json(fn.custom_from_json(F.lit(text)))) == text
+
+
+def test_dead_letter_key_bytes(spark):
+    from flowloom.sources.wire import dead_key_bytes
+
+    key = {"failed_at_ms": 1_705_000_000_123, "queue": "é-queue", "job_id": "j-1"}
+    assert bytes(one(spark, fn.dead_letter_key(F.col("f"), F.col("q"), F.col("j")), f=key["failed_at_ms"], q=key["queue"], j=key["job_id"])) == dead_key_bytes(key)
 
 
 def test_keys_and_roles(spark):

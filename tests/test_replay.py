@@ -50,6 +50,27 @@ def test_batch_equals_fold(spark, seed, few):
     assert rows == sorted((r["table"], r.get("queue") or "", r.get("job_id") or "", r.get("at_ms") or 0) for r in fold.rows())
 
 
+def test_many_couplings_and_sweeps_take_the_other_way(spark, monkeypatch):
+    import flowloom.plans.replay as rp
+
+    ops = random_ops(5, 150)
+    for op in ops:
+        if op["kind"] == "reserve" and "gamma" in op["body"]["queues"]:
+            op["body"]["queues"] = ["gamma"]
+        if op["kind"] == "enqueue_atomic":
+            for p in op["body"]["jobs"]:
+                p["request"]["queue"] = "alpha"
+    df = frame_of(spark, ops).cache()
+    few = components(df)
+    assert few == {"alpha": "alpha", "beta": "alpha"}
+    want = expected(ops)[0]
+    assert got(replay(df)[0]) == want
+    monkeypatch.setattr(rp, "MOST_COUPLINGS", 0)
+    monkeypatch.setattr(rp, "MOST_SWEEPS", 0)
+    assert {r["q"]: r["c"] for r in components(df).collect()} == few
+    assert got(replay(df)[0]) == want
+
+
 def test_stream_restarts_from_its_checkpoint(spark, tmp_path):
     ops = random_ops(3, 120)
     log, out, check = (str(tmp_path / n) for n in ("log", "out", "check"))
