@@ -10,16 +10,17 @@
    then decided on both full sets.
 4. Confirmed links give components. Only a bucket that still holds several
    components can hide another link, and only between members of different ones.
-5. Members of such open buckets are joined once more, by prefixes: with shingles in
-   order of rarity among all these members, two sets similar enough share one of
-   the first n - ceil(0.75 n) + 1 of either. These prefix shingles are the next
-   buckets, with a star and components as before. What many members have in common
-   (a template, say) is no one's rarity, so rows stay in proportion to members.
-6. Prefix buckets that are still open are cut into tiles of bounded rows and bytes,
-   a tile for each two parts of a bucket. A tile takes pairs of different components
-   by falling agreement of registers, verifies them on full sets and skips those it
-   has connected meanwhile, so that it gives at most one link for each row. A tile
-   copies its rows, so here alone work grows with the square of a bucket's parts.
+5. Members of such open buckets are held to their prefixes: with shingles in order
+   of rarity among all these members, two sets similar enough share one of the
+   first n - ceil(0.75 n) + 1 of either. A member that shares none of these with a
+   member of another component has no link to find and leaves; what many have in
+   common (a template, say) is no one's rarity.
+6. Buckets that are still open are cut into tiles of bounded rows and bytes, a tile
+   for each two parts of a bucket. A tile estimates all pairs of different components
+   on registers, takes promising ones by falling agreement, verifies them on full
+   sets and skips those it has connected meanwhile, so that it gives at most one
+   link for each row. A tile copies its rows, so here alone work grows with the
+   square of a bucket's parts: of members that do share rare shingles.
 
 Joins in which one key can hold many rows (the hub of a star, a large bucket) deal
 that key's rows to as many tasks as they need, with a copy of the other side each.
@@ -175,8 +176,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def tile_links(components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between rows of different components that connect whatever the rows' sets connect."""
+def tile_links(band: int, components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between rows of different components that connect whatever the rows' sets connect.
+
+    Two rows may meet in several bands; only the first band in which they agree decides on them.
+    """
     root = {c: c for c in components.tolist()}
 
     def find(x):
@@ -193,6 +197,8 @@ def tile_links(components: np.ndarray, regs: np.ndarray, sizes: np.ndarray, sets
         if len(other):
             own, size = np.broadcast_to(regs[i], (len(other), regs.shape[1])), np.full(len(other), float(sizes[i]))
             other = other[setsketch.at_least(own, regs[other], size, sizes[other].astype(float), PERCENT / 100 - ESTIMATE_MARGIN)]
+            agree = (regs[other] == regs[i]).reshape(-1, setsketch.BANDS, setsketch.BAND_ROWS).all(axis=2)
+            other = other[np.argmax(agree, axis=1) == band]
             rows.append(np.full(len(other), i))
             cols.append(other)
             guess.append((regs[other] == regs[i]).sum(axis=1))
@@ -213,7 +219,8 @@ def _tile(table: pa.Table) -> pa.Table:
     _, components = np.unique(np.array(table.column("component").to_pylist(), dtype=object), return_inverse=True)
     regs = _matrix(table.column("regs"))
     sets = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
-    found = tile_links(components, regs, np.array([len(x) for x in sets]), sets)
+    band = table.column("key")[0].as_py() >> (8 * setsketch.BAND_ROWS)
+    found = tile_links(band, components, regs, np.array([len(x) for x in sets]), sets)
     take = lambda side: ids.take(pa.array([p[side] for p in found], pa.int64()))
     return pa.table({"a": take(0), "b": take(1)})
 
@@ -296,33 +303,25 @@ class _Job:
         """(node, component) of every document with a link to a different set."""
         self.pair = self._schema(("a", self.id), ("b", self.id))
         star = self.members.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        found = self.star(star, None, "first")
+        found = self.star(star, "first")
         rest = self.open(self.members.where("members > 2").select("key", "id", "n"), found, "rest")
         self.scratch.drop("members", "buckets", "bands")
         if not rest.isEmpty():
             sets = self.sets(rest.select("id"), "rest")
             known = self.scratch.write(self.reps.join(sets, "id"), "known")
             self.scratch.drop("sets-rest")
-            prefixes = self.prefixes(known)
-            least = prefixes.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("key", "least")
-            star = self.dealt(prefixes, least, "key", "id").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-            more = self.star(star, known, "second").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = self.joined(found, more, "found-prefixes")
-            rest = self.open(prefixes, found, "still")
+            rest = self.meeting(rest, self.prefixes(known))
             if not rest.isEmpty():
                 found = self.joined(found, self.tiled(rest, known), "found-tiles")
             self.scratch.drop("known", "prefixes", "tiles")
         self.scratch.drop("reps")
         return found
 
-    def star(self, star: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
-        """(node, component) by the confirmed links among pairs (a, b); sets are looked up unless known."""
+    def star(self, star: DataFrame, name: str) -> DataFrame:
+        """(node, component) by the confirmed links among pairs (a, b)."""
         pairs = self.dealt(star.join(self.side(self.reps, "b"), "b"), self.side(self.reps, "a"), "a", "b").where(SIZED)
         hopeful = self.scratch.write(pairs.mapInArrow(_promising, self.pair).distinct(), f"hopeful-{name}")
-        if known is None:
-            sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), name)
-        else:
-            sets = known.select("id", "set")
+        sets = self.sets(hopeful.select(F.col("a").alias("id")).unionByName(hopeful.select(F.col("b").alias("id"))), name)
         links = self.verified(hopeful, sets, f"links-{name}")
         self.scratch.drop(f"sets-{name}", f"hopeful-{name}")
         return self.scratch.write(components(links, self.scratch, name), f"found-{name}")
@@ -345,6 +344,19 @@ class _Job:
         self.scratch.drop("often")
         return rows
 
+    def meeting(self, rest: DataFrame, prefixes: DataFrame) -> DataFrame:
+        """Rows of open buckets whose members share a prefix shingle with a member of another component, where buckets stay open."""
+        own = rest.select(F.col("id").alias("own"), "component").distinct()
+        placed = self.scratch.write(prefixes.join(own, F.col("id") == F.col("own")).select("key", "id", "component"), "placed-prefixes")
+        met = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        ids = self.scratch.write(self.dealt(placed, met, "key", "id").select("id").distinct(), "meeting")
+        few = ids.count() <= BROADCAST_IDS
+        left = self.scratch.write(rest.join(F.broadcast(ids) if few else ids, "id", "left_semi"), "left")
+        still = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        out = self.scratch.write(self.dealt(left, still, "key", "id"), "still")
+        self.scratch.drop("placed-prefixes", "left", "meeting")
+        return out
+
     def joined(self, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
         every = links.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return self.scratch.write(components(every, self.scratch, f"{name}-steps"), name)

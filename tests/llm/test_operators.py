@@ -173,7 +173,7 @@ def test_tile_links_connect_what_the_sets_connect():
         sets.append(np.unique(s))
     starts = np.cumsum([0, *map(len, sets)])[:-1]
     regs = ss.registers(np.concatenate(sets), starts)
-    links = tile_links(np.arange(30), regs, np.array(list(map(len, sets))), sets)
+    links = [p for band in range(ss.BANDS) for p in tile_links(band, np.arange(30), regs, np.array(list(map(len, sets))), sets)]
     root = list(range(30))
 
     def find(x):
@@ -222,7 +222,7 @@ def test_a_template_of_many_texts_stays_in_proportion(spark, monkeypatch):
         written.clear()
         got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df.unionByName(extra)).collect()}
         assert all(got[i] == i for i in range(n)) and [got[100_000 + i] for i in range(3)] == [0, 1, 2]
-        assert written["rest"] > n / 2 and written.get("tiles", 0) == 0 and written["prefixes"] <= 40 * n, written
+        assert written["rest"] > n / 2 and written["still"] <= 100 and written["prefixes"] <= 40 * n, written
 
 
 def test_sketches_merge_and_estimate():
