@@ -38,6 +38,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -263,20 +264,10 @@ def blocks(source: str) -> list[Block]:
     return out
 
 
-_PLACES: dict[str, int] = {}
-
-
 def _place(token: str) -> int:
-    """FNV-1a of a token, the same in every process."""
-    found = _PLACES.get(token)
-    if found is None:
-        h = 2166136261
-        for c in token.encode():
-            h = (h ^ c) * 16777619 & 0xFFFFFFFF
-        found = h ^ h >> 15
-        if len(_PLACES) < 200_000:
-            _PLACES[token] = found
-    return found
+    """A checksum of a token, the same in every process."""
+    h = crc32(token.encode())
+    return h ^ h >> 15
 
 
 def features(page: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
@@ -284,21 +275,28 @@ def features(page: list[Block], first: int = 0, end: int | None = None) -> np.nd
     end = len(page) if end is None else end
     part, whole = page[first:end], len(page)
     x = np.zeros((len(part), INPUT), np.float32)
-    paths: dict[int, list[int]] = {}
+    paths: dict[int, np.ndarray] = {}
+    kinds_of, sizes, extra = [], [], []
     for i, b in enumerate(part):
         own = paths.get(id(b.path))
         if own is None:
-            own = paths[id(b.path)] = [_place(t) % PATH_DIM for t in set(b.path)]
-        row = x[i]
-        for k in own:
-            row[k] += 1
-        words = b.text.split()
-        kinds = {w.lower() for w in words}
-        share = 1 / max(len(kinds), 1)
-        for w in kinds:
-            row[PATH_DIM + _place(w) % WORD_DIM] += share
+            own = paths[id(b.path)] = np.bincount([_place(t) % PATH_DIM for t in set(b.path)] or [0], minlength=PATH_DIM).astype(np.float32) * bool(b.path)
+        x[i, :PATH_DIM] = own
+        words = b.text.lower().split()
+        kinds = set(words)
+        kinds_of += [crc32(w.encode()) for w in kinds]
+        sizes.append(len(kinds))
         n = len(b.text)
-        row[-EXTRA:] = (np.log1p(n) / 6, min(b.linked / n, 1.0), np.log1p(len(words)) / 4, b.text[-1] in ".!?…", (first + i) / whole, (whole - 1 - first - i) / whole)
+        extra.append((n, min(b.linked / n, 1.0), len(words), b.text[-1] in ".!?…"))
+    if part:
+        size = np.array(sizes)
+        flat = np.bincount(np.repeat(np.arange(len(part)), size) * WORD_DIM + (np.array(kinds_of, np.int64) >> 9) % WORD_DIM, minlength=len(part) * WORD_DIM)
+        x[:, PATH_DIM : PATH_DIM + WORD_DIM] = flat.reshape(-1, WORD_DIM) / np.maximum(size, 1)[:, None]
+        e = np.array(extra, float)
+        e[:, 0], e[:, 2] = np.log1p(e[:, 0]) / 6, np.log1p(e[:, 2]) / 4
+        x[:, -EXTRA:-2] = e
+        at = np.arange(first, end)
+        x[:, -2], x[:, -1] = at / whole, (whole - 1 - at) / whole
     return x
 
 
