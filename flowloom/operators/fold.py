@@ -9,37 +9,103 @@ here knows of Spark; batch and streaming replay both call it.
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
+import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 MAX_LONG = 2**63 - 1
 PURGE_MOST = 1000
 
 
 class Order:
-    """A set of comparable keys that can be walked from the least."""
+    """A set of comparable keys that can be walked from the least: sorted lists of bounded length, so that no change moves all keys."""
+
+    MOST = 1024
 
     def __init__(self) -> None:
-        self.keys: list[tuple] = []
+        self.parts: list[list[tuple]] = []
+        self.last: list[tuple] = []  # of each part
 
     def add(self, key: tuple) -> None:
-        at = bisect.bisect_left(self.keys, key)
-        if at == len(self.keys) or self.keys[at] != key:
-            self.keys.insert(at, key)
+        if not self.parts:
+            self.parts, self.last = [[key]], [key]
+            return
+        i = min(bisect.bisect_left(self.last, key), len(self.parts) - 1)
+        part = self.parts[i]
+        at = bisect.bisect_left(part, key)
+        if at < len(part) and part[at] == key:
+            return
+        part.insert(at, key)
+        if len(part) > self.MOST:
+            half = len(part) // 2
+            self.parts[i : i + 1] = [part[:half], part[half:]]
+            self.last[i : i + 1] = [part[half - 1], part[-1]]
+        else:
+            self.last[i] = part[-1]
 
     def discard(self, key: tuple) -> None:
-        at = bisect.bisect_left(self.keys, key)
-        if at < len(self.keys) and self.keys[at] == key:
-            del self.keys[at]
+        i = bisect.bisect_left(self.last, key)
+        if i == len(self.parts):
+            return
+        part = self.parts[i]
+        at = bisect.bisect_left(part, key)
+        if part[at] != key:
+            return
+        del part[at]
+        if part:
+            self.last[i] = part[-1]
+        else:
+            del self.parts[i], self.last[i]
 
     def __contains__(self, key: tuple) -> bool:
-        at = bisect.bisect_left(self.keys, key)
-        return at < len(self.keys) and self.keys[at] == key
+        i = bisect.bisect_left(self.last, key)
+        return i < len(self.parts) and self.parts[i][bisect.bisect_left(self.parts[i], key)] == key
+
+    def __iter__(self) -> Iterator[tuple]:
+        return itertools.chain.from_iterable(self.parts)
+
+    def __bool__(self) -> bool:
+        return bool(self.parts)
+
+    def first(self) -> tuple:
+        return self.parts[0][0]
 
     def upto(self, now: int, most: int) -> list[tuple]:
         """The first ``most`` keys whose time is not after now."""
-        end = bisect.bisect_right(self.keys, now, key=lambda k: k[0])
-        return self.keys[: min(end, max(most, 0))]
+        due = itertools.takewhile(lambda k: k[0] <= now, self)
+        return list(itertools.islice(due, min(max(most, 0), sys.maxsize)))
+
+
+class Job(NamedTuple):
+    """Rows, not dicts: a queue may hold a great many jobs and dead letters."""
+
+    job_id: str
+    queue: str
+    job_type: str | None
+    priority: int
+    max_attempts: int
+    enqueued_at_ms: int
+    scheduled_at_ms: int | None
+    custom: dict | None
+    trace_context: dict | None
+
+    def __getitem__(self, name):
+        return getattr(self, name) if isinstance(name, str) else tuple.__getitem__(self, name)
+
+
+class DeadLetter(NamedTuple):
+    job: Job
+    payload: dict | None
+    cause: str
+    final_attempt: int
+    last_reason: str | None
+
+
+def _same(text: str | None) -> str | None:
+    """The one copy of a text that many jobs share."""
+    return text if text is None else sys.intern(text)
 
 
 def _plus(a: int, b: int) -> int:
@@ -54,7 +120,7 @@ class Fold:
     """State of all queues of one component."""
 
     def __init__(self) -> None:
-        self.jobs: dict[str, dict] = {}
+        self.jobs: dict[str, Job] = {}
         self.payloads: dict[str, dict] = {}
         self.ready: dict[str, Order] = {}
         self.ready_attempt: dict[str, int] = {}
@@ -65,7 +131,7 @@ class Fold:
         self.leases = Order()
         self.dedup: dict[tuple[str, str], dict] = {}
         self.dedup_timers = Order()
-        self.dead: dict[tuple, dict] = {}
+        self.dead: dict[tuple, DeadLetter] = {}
         self.dead_order = Order()
         self.closing: dict[str, int] = {}
         self.audit: list[dict] = []
@@ -78,22 +144,26 @@ class Fold:
 
     # --- placing and taking ---
 
-    def _ready_key(self, job: dict) -> tuple:
-        return (9 - min(job["priority"], 9), job["enqueued_at_ms"], job["job_id"])
+    def _ready_key(self, job: Job) -> tuple:
+        return (9 - min(job.priority, 9), job.enqueued_at_ms, job.job_id)
 
-    def _to_ready(self, job: dict, attempt: int) -> None:
-        self.ready.setdefault(job["queue"], Order()).add(self._ready_key(job))
-        self.ready_attempt[job["job_id"]] = attempt
+    def _to_ready(self, job: Job, attempt: int) -> None:
+        order = self.ready.get(job.queue)
+        if order is None:
+            order = self.ready[job.queue] = Order()
+        order.add(self._ready_key(job))
+        self.ready_attempt[job.job_id] = attempt
 
     def _to_scheduled(self, job_id: str, deadline: int, attempt: int) -> None:
         self.scheduled.add((deadline, job_id))
         self.scheduled_at[job_id], self.scheduled_attempt[job_id] = deadline, attempt
 
-    def _off_ready(self, job: dict) -> int:
-        self.ready[job["queue"]].discard(self._ready_key(job))
-        if not self.ready[job["queue"]].keys:
-            del self.ready[job["queue"]]
-        return self.ready_attempt.pop(job["job_id"])
+    def _off_ready(self, job: Job) -> int:
+        order = self.ready[job.queue]
+        order.discard(self._ready_key(job))
+        if not order:
+            del self.ready[job.queue]
+        return self.ready_attempt.pop(job.job_id)
 
     def _off_scheduled(self, job_id: str) -> int:
         self.scheduled.discard((self.scheduled_at.pop(job_id), job_id))
@@ -105,10 +175,10 @@ class Fold:
         self.flying[held["queue"]] -= 1
         return held
 
-    def _forget(self, job_id: str) -> dict:
+    def _forget(self, job_id: str) -> Job:
         job = self.jobs.pop(job_id)
         self.payloads.pop(job_id, None)
-        self.live[job["queue"]] -= 1
+        self.live[job.queue] -= 1
         return job
 
     def _bury(self, job_id: str, attempt: int, cause: str, reason: str | None, now: int, enabled: bool) -> None:
@@ -116,8 +186,8 @@ class Fold:
         payload = self.payloads.get(job_id)
         job = self._forget(job_id)
         if enabled:
-            key = _dead_key(now, job["queue"], job_id)
-            self.dead[key] = {"job": job, "payload": payload, "cause": cause, "final_attempt": attempt, "last_reason": reason, "failed_at_ms": now}
+            key = _dead_key(now, job.queue, job.job_id)
+            self.dead[key] = DeadLetter(job, payload, cause, attempt, _same(reason))
             self.dead_order.add(key)
 
     # --- enqueue ---
@@ -133,13 +203,12 @@ class Fold:
     def _insert(self, prepared: dict, now: int) -> None:
         request, limits, job_id = prepared["request"], prepared.get("limits") or {}, prepared["job_id"]
         at = request.get("scheduled_at_ms")
-        job = {
-            "job_id": job_id, "queue": request["queue"], "job_type": request.get("job_type"), "priority": int(limits.get("priority") or 0),
-            "max_attempts": int(limits.get("max_attempts") or 1), "enqueued_at_ms": now, "scheduled_at_ms": at, "custom": request.get("custom"),
-            "trace_context": request.get("trace_context"),
-        }
+        job = Job(
+            job_id, _same(request["queue"]), _same(request.get("job_type")), int(limits.get("priority") or 0), int(limits.get("max_attempts") or 1),
+            now, at, request.get("custom"), request.get("trace_context"),
+        )
         self.jobs[job_id] = job
-        self.live[job["queue"]] = self.live.get(job["queue"], 0) + 1
+        self.live[job.queue] = self.live.get(job.queue, 0) + 1
         if request.get("payload") is not None:
             self.payloads[job_id] = request["payload"]
         if at is not None and at > now:
@@ -148,7 +217,7 @@ class Fold:
             self._to_ready(job, 1)
         key = request.get("idempotency_key")
         if key is not None:
-            own = (job["queue"], key)
+            own = (job.queue, key)
             if own in self.dedup:
                 self.dedup_timers.discard((self.dedup[own]["deadline_ms"], *own))
             deadline = _plus(now, int(limits.get("dedup_window_ms") or 0))
@@ -200,13 +269,13 @@ class Fold:
         expires = _plus(now, int(body.get("lease_ms") or 0))
         for queue in body["queues"]:
             order = self.ready.get(queue)
-            while order and order.keys and len(out) < body["max_jobs"]:
-                job = self.jobs[order.keys[0][2]]
+            while order and len(out) < body["max_jobs"]:
+                job = self.jobs[order.first()[2]]
                 attempt = self._off_ready(job)
-                self.inflight[job["job_id"]] = {"attempt": attempt, "lease_expires_at_ms": expires, "queue": queue}
+                self.inflight[job.job_id] = {"attempt": attempt, "lease_expires_at_ms": expires, "queue": job.queue}
                 self.flying[queue] = self.flying.get(queue, 0) + 1
-                self.leases.add((expires, job["job_id"]))
-                out.append({"status": "reserved", "queue": queue, "job_id": job["job_id"], "attempt": attempt, "value": expires})
+                self.leases.add((expires, job.job_id))
+                out.append({"status": "reserved", "queue": queue, "job_id": job.job_id, "attempt": attempt, "value": expires})
                 order = self.ready.get(queue)
         return out or [{"status": "empty"}]
 
@@ -233,14 +302,14 @@ class Fold:
         job_id = body["job_id"]
         job, held = self.jobs[job_id], self._off_inflight(job_id)
         asked = body.get("strategy") == "dead_letter"
-        base = {"queue": job["queue"], "job_id": job_id, "attempt": held["attempt"]}
-        if asked or held["attempt"] >= job["max_attempts"]:
+        base = {"queue": job.queue, "job_id": job_id, "attempt": held["attempt"]}
+        if asked or held["attempt"] >= job.max_attempts:
             cause = "rejected" if asked else "attempts_exhausted"
             self._bury(job_id, held["attempt"], cause, body.get("reason"), now, bool(body.get("dead_letter_enabled")))
             return [base | {"status": "dead_lettered", "reason": cause}]
         delay = int(body.get("retry_delay_ms") or 0)
         if delay > 0:
-            self._to_scheduled(job_id, _plus(now, delay), held["attempt"] + 1)
+            self._to_scheduled(job.job_id, _plus(now, delay), held["attempt"] + 1)
         else:
             self._to_ready(job, held["attempt"] + 1)
         return [base | {"status": "retry", "value": delay}]
@@ -257,18 +326,18 @@ class Fold:
 
     # --- dead letters ---
 
-    def _unbury(self, key: tuple) -> dict:
+    def _unbury(self, key: tuple) -> DeadLetter:
         self.dead_order.discard(key)
         return self.dead.pop(key)
 
     def _drain_dead_letters(self, body: dict, now: int) -> list[dict]:
         queue = body.get("queue")
-        seen = self.dead_order.keys[: body["scan_cap"]]
-        keys = [k for k in seen if queue is None or k[2] == queue][: body["max"]]
+        seen = itertools.islice(self.dead_order, max(body["scan_cap"], 0))
+        keys = list(itertools.islice((k for k in seen if queue is None or k[2] == queue), max(body["max"], 0)))
         out = []
         for key in keys:
             r = self._unbury(key)
-            out.append({"status": "drained", "queue": key[2], "job_id": key[3], "attempt": r["final_attempt"], "reason": r["cause"], "value": key[0]})
+            out.append({"status": "drained", "queue": key[2], "job_id": key[3], "attempt": r.final_attempt, "reason": r.cause, "value": key[0]})
         return out or [{"status": "empty"}]
 
     def _keyed(self, body: dict, done: str, act) -> list[dict]:
@@ -284,12 +353,12 @@ class Fold:
         return out
 
     def _requeue_dead_letters(self, body: dict, now: int) -> list[dict]:
-        def back(record: dict) -> None:
-            job = record["job"] | {"enqueued_at_ms": now, "scheduled_at_ms": None}
-            self.jobs[job["job_id"]] = job
-            self.live[job["queue"]] = self.live.get(job["queue"], 0) + 1
-            if record["payload"] is not None:
-                self.payloads[job["job_id"]] = record["payload"]
+        def back(record: DeadLetter) -> None:
+            job = record.job._replace(enqueued_at_ms=now, scheduled_at_ms=None)
+            self.jobs[job.job_id] = job
+            self.live[job.queue] = self.live.get(job.queue, 0) + 1
+            if record.payload is not None:
+                self.payloads[job.job_id] = record.payload
             self._to_ready(job, 1)
 
         return self._keyed(body, "requeued", back)
@@ -303,8 +372,8 @@ class Fold:
         out = []
         for k in body["keys"]:
             job = self.jobs.get(k["job_id"])
-            own = job is not None and job["queue"] == body["queue"]
-            if own and body["state"] == "ready" and k["job_id"] in self.ready_attempt and self._ready_key(job)[1] == k.get("enqueued_at_ms", job["enqueued_at_ms"]):
+            own = job is not None and job.queue == body["queue"]
+            if own and body["state"] == "ready" and k["job_id"] in self.ready_attempt and self._ready_key(job)[1] == k.get("enqueued_at_ms", job.enqueued_at_ms):
                 attempt = self._off_ready(job)
             elif own and body["state"] == "scheduled" and self.scheduled_at.get(k["job_id"]) == k.get("deadline_ms", self.scheduled_at.get(k["job_id"])) and k["job_id"] in self.scheduled_at:
                 attempt = self._off_scheduled(k["job_id"])
@@ -329,10 +398,13 @@ class Fold:
         queue, most = body["queue"], min(max(int(body["max"]), 1), PURGE_MOST)
         if self.flying.get(queue):
             return [{"status": "failed_precondition", "queue": queue}]
-        steps = [("ready", k) for k in (self.ready[queue].keys if queue in self.ready else [])]
-        steps += [("scheduled", k) for k in self.scheduled.keys if self.jobs[k[1]]["queue"] == queue]
-        steps += [("dead", k) for k in self.dead_order.keys if k[2] == queue]
-        steps += [("dedup", k[1:]) for k in self.dedup_timers.keys if k[1] == queue]
+        every = itertools.chain(
+            (("ready", k) for k in self.ready.get(queue, ())),
+            (("scheduled", k) for k in self.scheduled if self.jobs[k[1]].queue == queue),
+            (("dead", k) for k in self.dead_order if k[2] == queue),
+            (("dedup", k[1:]) for k in self.dedup_timers if k[1] == queue),
+        )
+        steps = list(itertools.islice(every, most + 1))
         for table, k in steps[:most]:
             if table == "ready":
                 self._off_ready(self.jobs[k[2]])
@@ -356,15 +428,15 @@ class Fold:
         for deadline, job_id in self.scheduled.upto(now, budget):
             job = self.jobs[job_id]
             self._to_ready(job, self._off_scheduled(job_id))
-            out.append({"status": "promoted", "queue": job["queue"], "job_id": job_id})
+            out.append({"status": "promoted", "queue": job.queue, "job_id": job_id})
         for deadline, job_id in self.leases.upto(now, budget):
             job, held = self.jobs[job_id], self._off_inflight(job_id)
-            if held["attempt"] >= job["max_attempts"]:
+            if held["attempt"] >= job.max_attempts:
                 self._bury(job_id, held["attempt"], "lease_expired", None, now, enabled)
-                out.append({"status": "dead_lettered", "queue": job["queue"], "job_id": job_id, "attempt": held["attempt"], "reason": "lease_expired"})
+                out.append({"status": "dead_lettered", "queue": job.queue, "job_id": job_id, "attempt": held["attempt"], "reason": "lease_expired"})
             else:
                 self._to_ready(job, held["attempt"] + 1)
-                out.append({"status": "redelivered", "queue": job["queue"], "job_id": job_id, "attempt": held["attempt"] + 1})
+                out.append({"status": "redelivered", "queue": job.queue, "job_id": job_id, "attempt": held["attempt"] + 1})
         for timer in self.dedup_timers.upto(now, budget):
             self.dedup_timers.discard(timer)
             own = timer[1:]
@@ -386,11 +458,11 @@ class Fold:
 
     def earliest(self) -> int | None:
         """The first deadline of all timers and tombstones."""
-        firsts = [order.keys[0][0] for order in (self.scheduled, self.leases, self.dedup_timers) if order.keys]
+        firsts = [order.first()[0] for order in (self.scheduled, self.leases, self.dedup_timers) if order]
         return min([*firsts, *self.closing.values()], default=None)
 
     def oldest_dead(self) -> int | None:
-        return self.dead_order.keys[0][0] if self.dead_order.keys else None
+        return self.dead_order.first()[0] if self.dead_order else None
 
     def delete_queue(self, queue: str, now: int, purge: bool = False, grace_ms: int = 30_000, chunk: int = PURGE_MOST) -> dict:
         """Empty a queue under a tombstone that lasts until it ends: refused with jobs in flight, and without purge with any jobs.
@@ -399,7 +471,7 @@ class Fold:
         """
         self._close_queue({"queue": queue, "grace_ms": grace_ms}, now)
         try:
-            waiting = self.live.get(queue, 0) - self.flying.get(queue, 0) + sum(k[2] == queue for k in self.dead_order.keys)
+            waiting = self.live.get(queue, 0) - self.flying.get(queue, 0) + sum(k[2] == queue for k in self.dead_order)
             if self.flying.get(queue):
                 return {"status": "inflight", "queue": queue}
             if waiting and not purge:
@@ -421,26 +493,26 @@ class Fold:
         for job_id in sorted(self.jobs):
             job = self.jobs[job_id]
             attempt = self.ready_attempt.get(job_id) or self.scheduled_attempt.get(job_id) or self.inflight[job_id]["attempt"]
-            body = {k: job.get(k) for k in ("job_type", "scheduled_at_ms", "custom", "trace_context")}
-            yield {"table": "jobs", "queue": job["queue"], "job_id": job_id, "attempt": attempt, "priority": job["priority"], "max_attempts": job["max_attempts"], "at_ms": job["enqueued_at_ms"], "body": json.dumps(body, sort_keys=True)}
+            body = {k: job[k] for k in ("job_type", "scheduled_at_ms", "custom", "trace_context")}
+            yield {"table": "jobs", "queue": job.queue, "job_id": job_id, "attempt": attempt, "priority": job.priority, "max_attempts": job.max_attempts, "at_ms": job.enqueued_at_ms, "body": json.dumps(body, sort_keys=True)}
         for job_id in sorted(self.payloads):
             yield {"table": "payloads", "job_id": job_id, "body": json.dumps(self.payloads[job_id], sort_keys=True)}
         for queue in sorted(self.ready):
-            for inv, at, job_id in self.ready[queue].keys:
+            for inv, at, job_id in self.ready[queue]:
                 yield {"table": "ready", "queue": queue, "job_id": job_id, "priority": 9 - inv, "at_ms": at, "attempt": self.ready_attempt[job_id]}
-        for deadline, job_id in self.scheduled.keys:
-            yield {"table": "scheduled", "queue": self.jobs[job_id]["queue"], "job_id": job_id, "at_ms": deadline, "attempt": self.scheduled_attempt[job_id]}
-        for deadline, job_id in self.leases.keys:
+        for deadline, job_id in self.scheduled:
+            yield {"table": "scheduled", "queue": self.jobs[job_id].queue, "job_id": job_id, "at_ms": deadline, "attempt": self.scheduled_attempt[job_id]}
+        for deadline, job_id in self.leases:
             job = self.jobs[job_id]
-            yield {"table": "inflight", "queue": job["queue"], "job_id": job_id, "at_ms": deadline, "attempt": self.inflight[job_id]["attempt"], "priority": job["priority"], "max_attempts": job["max_attempts"]}
-            yield {"table": "leases", "queue": job["queue"], "job_id": job_id, "at_ms": deadline}
+            yield {"table": "inflight", "queue": job.queue, "job_id": job_id, "at_ms": deadline, "attempt": self.inflight[job_id]["attempt"], "priority": job.priority, "max_attempts": job.max_attempts}
+            yield {"table": "leases", "queue": job.queue, "job_id": job_id, "at_ms": deadline}
         for (queue, key), r in sorted(self.dedup.items()):
             yield {"table": "dedup", "queue": queue, "key": key, "job_id": r["job_id"], "at_ms": r["deadline_ms"]}
-        for deadline, queue, key in self.dedup_timers.keys:
+        for deadline, queue, key in self.dedup_timers:
             yield {"table": "dedup_timers", "queue": queue, "key": key, "at_ms": deadline}
-        for key in self.dead_order.keys:
+        for key in self.dead_order:
             r = self.dead[key]
-            yield {"table": "dead_letter", "queue": key[2], "job_id": key[3], "at_ms": key[0], "attempt": r["final_attempt"], "reason": r["cause"], "body": json.dumps({"last_reason": r["last_reason"], "job": r["job"], "payload": r["payload"]}, sort_keys=True)}
+            yield {"table": "dead_letter", "queue": key[2], "job_id": key[3], "at_ms": key[0], "attempt": r.final_attempt, "reason": r.cause, "body": json.dumps({"last_reason": r.last_reason, "job": r.job._asdict(), "payload": r.payload}, sort_keys=True)}
         for queue in sorted(self.closing):
             yield {"table": "closing", "queue": queue, "at_ms": self.closing[queue]}
         for a in self.audit:

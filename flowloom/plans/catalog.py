@@ -19,7 +19,7 @@ from ..sources.tables import (
 from ..streaming.replay_stream import run_replay
 from ..streaming.sinks import stats_frames
 from .register import Query, register_into
-from .replay import replay
+from .replay import replay, replay_outcomes
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -737,7 +737,7 @@ def metrics_exposition(spark, sf_dir):
 @query()
 def op_replay(spark, sf_dir):
     """Outcomes of the sample op log."""
-    return replay(written(sample_ops(spark, sf_dir), "ops"))[0]
+    return replay_outcomes(written(sample_ops(spark, sf_dir), "ops"))
 
 
 @query()

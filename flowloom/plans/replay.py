@@ -15,11 +15,13 @@ demands. What spreads a log over a cluster is its number of components.
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.fold import Fold
 from ..operators.ranking import audit_numbers
@@ -28,51 +30,65 @@ from ..sources.tables import OP_KINDS
 
 OUTCOME = "seq bigint, idx int, kind string, status string, queue string, job_id string, attempt bigint, value bigint, reason string"
 STATE = "tbl string, queue string, job_id string, key string, at_ms bigint, attempt bigint, priority int, max_attempts bigint, reason string, body string"
-TAGGED = f"component string, is_state boolean, seq bigint, idx int, kind string, status string, value bigint, {STATE}"
 #: Distinct couplings of queues up to which components are worked out on the driver; beyond, by joins.
 MOST_COUPLINGS = 100_000
 #: 40 bytes each.
 MOST_SWEEPS = 1_000_000
 NEVER = -(2**63)
+MOST_SEQ = 2**63 - 1
 ALL = ""
+#: Rows that Python gives back at a time.
+BATCH_ROWS = 10_000
+#: So that a few components seldom share a task.
+LEAST_TASKS = 64
 
-_COLUMNS = [c.split()[0] for c in TAGGED.split(", ")]
+_STATE = [c.split()[0] for c in STATE.split(", ")]
 
 
-def packed(ops: DataFrame) -> DataFrame:
-    """seq, now_ms, kind and the op's own struct as JSON text."""
+def packed(ops: DataFrame, *more: Column) -> DataFrame:
+    """seq, pos, now_ms, kind and the op's own struct as JSON text."""
     body = F.coalesce(*[F.when(F.col("kind") == k, F.to_json(k)) for k in OP_KINDS])
-    return ops.select("seq", "now_ms", "kind", body.alias("body"))
+    return ops.select("seq", F.lit(0).alias("pos"), F.coalesce("now_ms", F.lit(0)).alias("now_ms"), "kind", body.alias("body"), *more)
 
 
-def op_from(row) -> dict:
-    return {"seq": int(row.seq), "now_ms": int(row.now_ms) if row.now_ms is not None else 0, "kind": row.kind, "body": json.loads(row.body) if row.body else {}}
+def op_from(seq, now_ms, kind, body) -> dict:
+    return {"seq": seq, "now_ms": now_ms, "kind": kind, "body": json.loads(body) if body else {}}
 
 
-def outcome_rows(op: dict, found: list[dict]) -> list[dict]:
-    places = op["body"].get("places")  # of a part of a batch within the whole
-    if op["kind"] == "sweep":  # what a sweep moves has no order over components: 0 is the sweep, 1 all that it moved
-        found = [o | {"idx": min(i, 1)} for i, o in enumerate(found)]
-    return [{"is_state": False, "seq": op["seq"], "idx": o.get("idx", places[i] if places else i), "kind": op["kind"], **{k: v for k, v in o.items() if k != "idx"}} for i, o in enumerate(found)]
+def outcome_rows(op: dict, found: list[dict]) -> Iterator[tuple]:
+    """Rows of OUTCOME."""
+    seq, kind, places = op["seq"], op["kind"], op["body"].get("places")  # of a part of a batch within the whole
+    for i, o in enumerate(found):
+        if kind == "sweep":  # what a sweep moves has no order over components: 0 is the sweep, 1 all that it moved
+            idx = min(i, 1)
+        else:
+            idx = o.get("idx", places[i] if places else i)
+        yield seq, idx, kind, o["status"], o.get("queue"), o.get("job_id"), o.get("attempt"), o.get("value"), o.get("reason")
 
 
-def frame(rows: list[dict], component: str) -> pd.DataFrame:
-    for r in rows:
-        if "table" in r:
-            r["tbl"], r["is_state"] = r.pop("table"), True
-    # Objects from the start: a column with gaps would turn into floats, and long numbers lose digits.
-    return pd.DataFrame([[component if c == "component" else r.get(c) for c in _COLUMNS] for r in rows], columns=_COLUMNS, dtype=object)
+def record_batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, so many at a time."""
+    while some := list(itertools.islice(rows, BATCH_ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), schema)], schema=schema)
 
 
-def _folder(shared):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold, rows, at = Fold(), [], 0
-        sweeps = shared.value if shared is not None else None
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))])
 
-        def swept(end: int) -> None:
+
+def _folder(shared, state: bool):
+    """A component's ops, in order, to its outcomes, or to the state they leave; only that state is held."""
+    names = ["table", *_STATE[1:]]
+
+    def outcomes(fold: Fold, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at, last = 0, -1
+        seqs, nows, cutoffs, bodies = shared.value if shared is not None else [np.zeros(0, np.int64)] * 4
+        marks = [*seqs.tolist(), MOST_SEQ]
+
+        def swept(end: int) -> Iterator[tuple]:
             """Apply the sweeps before one of them, or all: those at which nothing is due do nothing."""
             nonlocal at
-            seqs, nows, cutoffs, bodies = sweeps
             while at < end:
                 due, dead, stop = fold.earliest(), fold.oldest_dead(), min(end, at + 1024)
                 hit = np.zeros(stop - at, bool)
@@ -88,22 +104,43 @@ def _folder(shared):
                 cutoff = int(cutoffs[at + k])
                 body = {"budget": budget, "retention_cutoff_ms": None if cutoff == NEVER else cutoff, "dead_letter_enabled": bool(enabled)}
                 op = {"seq": int(seqs[at + k]), "now_ms": int(nows[at + k]), "kind": "sweep", "body": body}
-                rows.extend(outcome_rows(op, fold.apply(op)))
+                yield from outcome_rows(op, fold.apply(op))
                 at += k + 1
 
-        for row in pdf.sort_values("seq").itertuples(index=False):
-            op = op_from(row)
-            if sweeps is not None:
-                swept(int(np.searchsorted(sweeps[0], op["seq"])))
-            rows.extend(outcome_rows(op, fold.apply(op)))
-        if sweeps is not None:
-            swept(len(sweeps[0]))
-        rows.extend(fold.rows())
-        return frame(rows, key[0])
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("seq", "now_ms", "kind", "body"))):
+                op = op_from(*row)
+                if op["seq"] < last:
+                    raise RuntimeError("ops of a component are out of order")
+                last = op["seq"]
+                if marks[at] < last:
+                    yield from swept(int(np.searchsorted(seqs, last)))
+                yield from outcome_rows(op, fold.apply(op))
+        yield from swept(len(seqs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Fold()
+        rows = outcomes(fold, batches)
+        if not state:
+            yield from record_batches(rows, _arrow(OUTCOME))
+            return
+        for _ in rows:
+            pass
+        yield from record_batches((tuple(r.get(n) for n in names) for r in fold.rows()), _arrow(STATE))
 
     return run
 
 
+def _folded(routed: DataFrame, sweeps: tuple | None, state: bool = False) -> DataFrame:
+    """Each component's rows reach Python in order and a batch at a time, so a task holds no component's log."""
+    spark = routed.sparkSession
+    shared = spark.sparkContext.broadcast(sweeps) if sweeps is not None else None
+    # A number given by hand: small components are not put into one task again.
+    tasks = max(LEAST_TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = routed.repartition(tasks, "component").sortWithinPartitions("component", "seq", "pos")
+    return ordered.groupBy("component").applyInArrow(_folder(shared, state), STATE if state else OUTCOME)
+
+
 def _sweeps(ops: DataFrame) -> tuple | None:
     """(numbers, times, cutoffs, budget and dead-letter switch) of all sweeps in order; None if they are too many to broadcast."""
     own = ops.where("kind = 'sweep'")
@@ -176,23 +213,23 @@ def _routed(ops: DataFrame) -> tuple[DataFrame, tuple | None]:
     spark = ops.sparkSession
     table = F.broadcast(spark.createDataFrame(list(one.items()) or [("", "")], "q string, c string")) if isinstance(one, dict) else one
     homed = lambda df: df.join(table, df["queue"] == table["q"], "left").withColumn("component", F.concat(F.lit("q:"), F.coalesce("c", "queue"))).drop("q", "c")
-    # Jobs of an ordinary batch may go to several components: each gets its own, with their places.
-    parts = ops.where("kind = 'enqueue'").select("seq", "now_ms", F.posexplode("enqueue.jobs").alias("pos", "job"))
-    parts = homed(parts.select("seq", "now_ms", "pos", F.col("job.request.queue").alias("queue"), F.to_json("job").alias("job")))
-    parts = parts.groupBy("component", "seq", "now_ms").agg(F.array_sort(F.collect_list(F.struct("pos", "job"))).alias("j"))
-    body = F.concat(F.lit('{"jobs":['), F.array_join("j.job", ","), F.lit('],"places":['), F.array_join(F.col("j.pos").cast("array<string>"), ","), F.lit("]}"))
-    enqueues = parts.select("seq", "now_ms", F.lit("enqueue").alias("kind"), body.alias("body"), "component")
+    # Jobs of an ordinary batch may go to several components, and are folded one by one: each is a row with its place.
+    parts = ops.where("kind = 'enqueue'").select("seq", F.coalesce("now_ms", F.lit(0)).alias("now_ms"), F.posexplode("enqueue.jobs").alias("pos", "job"))
+    body = F.concat(F.lit('{"jobs":['), F.to_json("job"), F.lit('],"places":['), F.col("pos").cast("string"), F.lit("]}"))
+    enqueues = homed(parts.select("seq", "pos", "now_ms", F.lit("enqueue").alias("kind"), body.alias("body"), F.col("job.request.queue").alias("queue"))).drop("queue")
     named = F.coalesce(
         F.when(F.col("kind") == "enqueue_atomic", F.get(F.col("enqueue_atomic.jobs"), F.lit(0))["request"]["queue"]),
         F.when(F.col("kind") == "reserve", F.get(F.col("reserve.queues"), F.lit(0))),
         *[F.when(F.col("kind") == k, F.col(f"{k}.queue")) for k in ("drain_dead_letters", "close_queue", "open_queue", "requeue_dead_letters", "dead_letter_jobs", "delete_dead_letters", "purge_queue_chunk")],
     )
-    by_queue = homed(ops.where("kind not in ('enqueue', 'sweep', 'audit_append', 'ack', 'nack', 'extend')").withColumn("queue", named))
+    alone = ops.where("kind not in ('enqueue', 'sweep', 'audit_append', 'ack', 'nack', 'extend')")
+    by_queue = homed(packed(alone, named.alias("queue"))).drop("queue")
     born = ops.where("kind in ('enqueue', 'enqueue_atomic')").select(F.explode(F.coalesce("enqueue.jobs", "enqueue_atomic.jobs")).alias("j"))
     born = born.select(F.col("j.job_id").alias("born_id"), F.col("j.request.queue").alias("queue")).dropDuplicates(["born_id"])
-    leases = ops.where("kind in ('ack', 'nack', 'extend')").withColumn("asked_id", F.coalesce("ack.job_id", "nack.job_id", "extend.job_id"))
-    by_job = homed(leases.join(born, F.col("asked_id") == F.col("born_id"), "left").withColumn("queue", F.coalesce("queue", F.lit(""))))
-    single = packed_with(by_queue).unionByName(packed_with(by_job)).unionByName(enqueues)
+    leases = packed(ops.where("kind in ('ack', 'nack', 'extend')"), F.coalesce("ack.job_id", "nack.job_id", "extend.job_id").alias("asked_id"))
+    by_job = leases.join(born, F.col("asked_id") == F.col("born_id"), "left").withColumn("queue", F.coalesce("queue", F.lit("")))
+    by_job = homed(by_job).drop("asked_id", "born_id", "queue")
+    single = by_queue.unionByName(by_job).unionByName(enqueues)
     sweeps = _sweeps(ops)
     if sweeps is not None:
         return single, sweeps
@@ -202,11 +239,6 @@ def _routed(ops: DataFrame) -> tuple[DataFrame, tuple | None]:
     return single.unionByName(each), None
 
 
-def packed_with(df: DataFrame) -> DataFrame:
-    body = F.coalesce(*[F.when(F.col("kind") == k, F.to_json(k)) for k in OP_KINDS])
-    return df.select("seq", "now_ms", "kind", body.alias("body"), "component")
-
-
 def _restored(outcomes: DataFrame, ops: DataFrame) -> DataFrame:
     """Sweeps of several components as one: counts added, the jobs they moved listed after it in order."""
     swept = outcomes.where("kind = 'sweep'")
@@ -219,24 +251,44 @@ def _restored(outcomes: DataFrame, ops: DataFrame) -> DataFrame:
 
 def replay(ops: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(outcomes, state) of an op log; state rows are tagged with their table."""
-    routed, sweeps = _routed(ops)
-    shared = ops.sparkSession.sparkContext.broadcast(sweeps) if sweeps is not None else None
-    folded = routed.groupBy("component").applyInPandas(_folder(shared), TAGGED)
-    names = [c.split()[0] for c in OUTCOME.split(", ")]
-    outcomes = _restored(folded.where("not is_state").select(*names), ops)
-    numbered = audit_numbers(ops.where("kind = 'audit_append'").select(F.col("seq").alias("op_seq"), "now_ms", "audit_append"), "op_seq")
-    audits = numbered.select(
+    routed = _routed(ops)
+    return _outcomes(ops, *routed), _state(ops, *routed)
+
+
+def replay_outcomes(ops: DataFrame) -> DataFrame:
+    return _outcomes(ops, *_routed(ops))
+
+
+def replay_state(ops: DataFrame) -> DataFrame:
+    return _state(ops, *_routed(ops))
+
+
+def _numbered(ops: DataFrame) -> DataFrame:
+    return audit_numbers(ops.where("kind = 'audit_append'").select(F.col("seq").alias("op_seq"), "now_ms", "audit_append"), "op_seq")
+
+
+def _outcomes(ops: DataFrame, routed: DataFrame, sweeps: tuple | None) -> DataFrame:
+    # Written, as they are read for each of the parts below.
+    return with_audits(_restored(written(_folded(routed, sweeps), "outcomes"), ops), ops)
+
+
+def with_audits(outcomes: DataFrame, ops: DataFrame) -> DataFrame:
+    """Outcomes with those of the audit records, which only need numbers."""
+    audits = _numbered(ops).select(
         F.col("op_seq").alias("seq"), F.lit(0).alias("idx"), F.lit("audit_append").alias("kind"), F.lit("appended").alias("status"),
         *[F.lit(None).cast(t).alias(n) for n, t in (("queue", "string"), ("job_id", "string"), ("attempt", "bigint"))],
         F.col("seq").alias("value"), F.lit(None).cast("string").alias("reason"),
     )
-    state = folded.where("is_state").select(*[c.split()[0] for c in STATE.split(", ")])
-    records = numbered.select(
+    return outcomes.unionByName(audits)
+
+
+def _state(ops: DataFrame, routed: DataFrame, sweeps: tuple | None) -> DataFrame:
+    records = _numbered(ops).select(
         F.lit("audit").alias("tbl"), F.lit(None).cast("string").alias("queue"), F.lit(None).cast("string").alias("job_id"), F.col("audit_append.actor").alias("key"),
         F.col("now_ms").alias("at_ms"), F.col("seq").alias("attempt"), F.lit(None).cast("int").alias("priority"), F.lit(None).cast("bigint").alias("max_attempts"),
         F.col("audit_append.action").alias("reason"), F.to_json("audit_append").alias("body"),
     )
-    return outcomes.unionByName(audits), state.unionByName(records)
+    return _folded(routed, sweeps, state=True).unionByName(records)
 
 
 def state_table(state: DataFrame, name: str) -> DataFrame:

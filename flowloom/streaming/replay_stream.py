@@ -23,12 +23,14 @@ _NAMES = [c.split()[0] for c in OUTCOME.split(", ")]
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     fold = pickle.loads(state.get[0]) if state.exists else Fold()
-    rows: list[dict] = []
-    for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-        op = op_from(row)
+    ops = pd.concat(list(frames)).sort_values(["seq", "pos"])
+    rows: list[tuple] = []
+    for row in zip(*(ops[c].tolist() for c in ("seq", "now_ms", "kind", "body"))):
+        op = op_from(*row)
         rows += outcome_rows(op, fold.apply(op))
     state.update((pickle.dumps(fold),))
-    yield pd.DataFrame([[r.get(n) for n in _NAMES] for r in rows], columns=_NAMES, dtype=object)
+    # Objects from the start: a column with gaps would turn into floats, and long numbers lose digits.
+    yield pd.DataFrame(rows, columns=_NAMES, dtype=object)
 
 
 def outcomes_stream(ops: DataFrame, component=None) -> DataFrame:

@@ -200,3 +200,23 @@ def test_random_logs_keep_invariants_and_reach_every_branch():
                 assert one.live.get(q, 0) == sum(j["queue"] == q for j in one.jobs.values())
         assert list(one.rows()) == list(two.rows())
     assert {"enqueued", "deduplicated", "queue_full", "queue_closing", "dead_lettered", "failed_precondition", "not_found", "purged", "promoted"} <= seen
+
+
+def test_order_is_a_sorted_set_in_parts_of_bounded_length():
+    from flowloom.operators.fold import Order
+
+    rng, order, plain = random.Random(8), Order(), set()
+    for _ in range(20_000):
+        key = (rng.randrange(9000), "k")
+        if rng.random() < 0.7:
+            order.add(key)
+            plain.add(key)
+        else:
+            order.discard(key)
+            plain.discard(key)
+        assert (key in order) == (key in plain)
+    assert list(order) == sorted(plain) and max(map(len, order.parts)) <= Order.MOST < len(plain)
+    assert order.first() == min(plain) and order.upto(4000, 1 << 53) == sorted(k for k in plain if k[0] <= 4000) and len(order.upto(4000, 7)) == 7
+    for key in plain:
+        order.discard(key)
+    assert not order and not list(order)

@@ -100,3 +100,24 @@ def test_sample_ops_hold_every_event_under_its_own_number(spark, sf_dir, tmp_pat
     assert ops.select("seq").distinct().count() == ops.count() > 9 * n
     times = [r["now_ms"] for r in ops.orderBy("seq").select("now_ms").collect()]
     assert times == sorted(times)
+
+
+def test_outcomes_come_before_a_component_is_read_whole(monkeypatch):
+    import pyarrow as pa
+
+    import flowloom.plans.replay as rp
+
+    monkeypatch.setattr(rp, "BATCH_ROWS", 50)
+    ops, read = random_ops(6, 400), []
+
+    def batches():
+        for op in ops:
+            read.append(op["seq"])
+            yield pa.RecordBatch.from_pylist([{"seq": op["seq"], "pos": 0, "now_ms": op["now_ms"], "kind": op["kind"], "body": json.dumps(op["body"])}])
+
+    found = rp._folder(None, state=False)(batches())
+    first = next(found)
+    assert first.num_rows == 50 and len(read) < 60
+    rows = [r for b in (first, *found) for r in b.to_pylist()]
+    names = ("seq", "idx", "status", "queue", "job_id", "attempt", "value")
+    assert sorted(repr(tuple(r[n] for n in names)) for r in rows) == expected(ops)[0]
