@@ -19,7 +19,7 @@ from ..sources.tables import (
 from ..streaming.replay_stream import run_replay
 from ..streaming.sinks import stats_frames
 from .register import Query, register_into
-from .replay import replay, replay_outcomes
+from .replay import replay_outcomes, replay_state
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -743,7 +743,7 @@ def op_replay(spark, sf_dir):
 @query()
 def op_replay_state(spark, sf_dir):
     """Rows of each state table and queue that the sample op log leaves."""
-    state = replay(written(sample_ops(spark, sf_dir), "ops"))[1]
+    state = replay_state(written(sample_ops(spark, sf_dir), "ops"))
     return state.groupBy("tbl", "queue").agg(F.count(F.lit(1)).alias("entries"), F.min("at_ms").alias("first_ms"), F.max("at_ms").alias("last_ms"))
 
 

@@ -121,3 +121,17 @@ def test_outcomes_come_before_a_component_is_read_whole(monkeypatch):
     rows = [r for b in (first, *found) for r in b.to_pylist()]
     names = ("seq", "idx", "status", "queue", "job_id", "attempt", "value")
     assert sorted(repr(tuple(r[n] for n in names)) for r in rows) == expected(ops)[0]
+
+
+def test_state_comes_in_batches_without_outcomes(monkeypatch):
+    import pyarrow as pa
+
+    import flowloom.plans.replay as rp
+
+    monkeypatch.setattr(rp, "BATCH_ROWS", 10)
+    ops = random_ops(7, 300)
+    rows = [{"seq": op["seq"], "pos": 0, "now_ms": op["now_ms"], "kind": op["kind"], "body": json.dumps(op["body"])} for op in ops]
+    found = list(rp._folder(None, state=True)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(found) > 1 and max(b.num_rows for b in found) == 10
+    want = [r["table"] for r in expected(ops)[1].rows()]
+    assert [r["tbl"] for b in found for r in b.to_pylist()] == want
