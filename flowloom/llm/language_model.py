@@ -2,8 +2,10 @@
 
 Tokens are lower-cased words and one end for each text.
 
-1. Themes. A mixture of ``THEMES`` unigram models over hashed words, fitted to at
-   most about ``SAMPLE`` training texts, tells kinds of text (languages, say) apart.
+1. Themes. A mixture of ``THEMES`` unigram models over hashed words tells kinds of
+   text (languages, say) apart. It is fitted to all training texts, in ``THEME_STEPS``
+   passes that deal each to its likeliest theme and take the themes' sums; about
+   ``SAMPLE`` of them only give the values that the first pass starts from.
 2. Exact training counts of every token, by theme of its text, added up per
    partition and shuffled by token. The most frequent, up to ``HEAD``, are
    broadcast. Of these all with ``LEAST_COUNT`` occurrences (``MOST_WORDS`` at
@@ -49,6 +51,7 @@ from .language_id import held_out
 from .scratch import Scratch, small_batches
 
 THEMES, SAMPLE, BUCKETS = 8, 2000, 2048
+THEME_STEPS = 2
 HEAD = 200_000
 LEAST_COUNT, MOST_WORDS, FEWEST_WORDS = 50, 32_768, 1000
 GROUP_WORDS = 128
@@ -105,13 +108,52 @@ def mixture(x: np.ndarray, steps: int = 15) -> np.ndarray:
     share[np.arange(len(x)), np.argmax(root @ root[own].T, axis=1)] = 1
     for _ in range(steps):
         total = share.T @ x
-        theta = (total + 20 * mean) / (total.sum(axis=1, keepdims=True) + 20)
+        theta = _smoothed(total, mean)
         like = x @ np.log(theta).T + np.log(share.sum(axis=0) + 1)
         share = np.exp(np.maximum(like - like.max(axis=1, keepdims=True), -30)).astype(np.float32)
         share /= share.sum(axis=1, keepdims=True)
     return np.log(theta).T.astype(np.float32)
 
 
+def _smoothed(total: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    return (total + 20 * mean) / (total.sum(axis=1, keepdims=True) + 20)
+
+
+def _theme_sums(shared):
+    """Counts of hashed words of all texts by the theme each is likeliest of: whole numbers, so their sums don't depend on the layout."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((THEMES, BUCKETS), np.int64)
+        for batch in batches:
+            for _, texts in slices(batch, "__text", CHUNK):
+                x = bags(*tokens(Words(texts, SPACED, lower=True)))
+                theme = np.argmax(x @ shared.value, axis=1)
+                for t in np.unique(theme).tolist():
+                    total[t] += x[theme == t].sum(axis=0, dtype=np.float64).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(THEMES), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["theme", "x"])
+
+    return add
+
+
+def _theme_added(table: pa.Table) -> pa.Table:
+    x = sum(np.frombuffer(r.as_py(), np.int64) for r in table.column("x"))
+    return pa.table({"theme": table.column("theme")[:1], "x": pa.array([x.tobytes()], pa.binary())})
+
+
+def fitted_themes(learn: DataFrame, theta: np.ndarray) -> np.ndarray:
+    """Log-probabilities BUCKETS x THEMES after passes over all texts of learn, from the values theta."""
+    spark = learn.sparkSession
+    for _ in range(THEME_STEPS):
+        shared = spark.sparkContext.broadcast(theta)
+        sums = learn.select("__text").mapInArrow(_theme_sums(shared), "theme int, x binary").groupBy("theme").applyInArrow(_theme_added, "theme int, x binary").toArrow()
+        total = np.zeros((THEMES, BUCKETS))
+        for t, x in zip(sums.column("theme").to_pylist(), sums.column("x").to_pylist()):
+            total[t] = np.frombuffer(x, np.int64)
+        theta = np.log(_smoothed(total, (total.sum(axis=0) + 1) / (total.sum() + BUCKETS))).T.astype(np.float32)
+        shared.unpersist()
+    return theta
+
+
 def _bagger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch, "__text"):
@@ -490,7 +532,8 @@ class Fitted:
         part = F.pmod(F.col("h"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, SAMPLE / max(rows, 1))) + 1
         bag = learn.where(part).orderBy("h").limit(2 * SAMPLE).mapInArrow(_bagger, "h long, x binary").toArrow().sort_by("h")
         x = np.frombuffer(b"".join(bag.column("x").to_pylist()), np.uint16).reshape(-1, BUCKETS).astype(np.float32)
-        theta = spark.sparkContext.broadcast(mixture(x))
+        self.themes = fitted_themes(learn, mixture(x))
+        theta = spark.sparkContext.broadcast(self.themes)
         by_theme = [F.sum(F.when(F.col("theme") == t, F.col("n")).otherwise(F.lit(0))).alias(f"t{t}") for t in range(THEMES)]
         counts = learn.select("__text").mapInArrow(_counter(theta), "token long, theme int, n long").groupBy("token").agg(F.sum("n").alias("c"), *by_theme)
         self.counts = scratch.write(counts.withColumn("bin", _bin(F.col("c"))), "counts")

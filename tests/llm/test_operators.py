@@ -531,3 +531,24 @@ def test_language_model_of_no_training_text_is_the_base(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 10 == 0]
     got = lm_scores(spark.createDataFrame([(i, "a b") for i in held], "doc_id int, text string")).collect()
     assert all((r["train_tokens"], r["n_known"], r["score"]) == (0, 0, r["base_score"]) for r in got)
+
+
+def test_language_model_themes_come_from_all_training_texts(spark, monkeypatch):
+    """Few texts give the first values; the themes are those of the sums over every text."""
+    from flowloom.llm import language_model as lm
+    from flowloom.llm.scratch import Scratch, small_batches
+
+    rng = np.random.default_rng(9)
+    start = rng.normal(-7, 1, (lm.BUCKETS, lm.THEMES)).astype(np.float32)
+    monkeypatch.setattr(lm, "SAMPLE", 5)
+    monkeypatch.setattr(lm, "mixture", lambda x: start)
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{k}" for k in rng.integers(0, 60, 30))) for i in range(200)]
+    small_batches(spark)
+    learn = lm._learned_from(spark.createDataFrame(rows, "doc_id int, text string").repartition(5), "doc_id", "text")
+    x = lm.bags(*lm.tokens(bt.Words(bt.buffers(pa.array([r["__text"] for r in learn.collect()])), bt.SPACED, lower=True)))
+    want, mean = start, (x.sum(axis=0) + 1) / (x.sum() + lm.BUCKETS)
+    for _ in range(lm.THEME_STEPS):
+        theme = np.argmax(x @ want, axis=1)
+        total = np.stack([x[theme == t].sum(axis=0) for t in range(lm.THEMES)])
+        want = np.log((total + 20 * mean) / (total.sum(axis=1, keepdims=True) + 20)).T
+    assert np.allclose(lm.Fitted(learn, Scratch(spark, "t")).themes, want, atol=1e-4)
