@@ -16,7 +16,7 @@ from ..sources.shared import shared_path, written
 from ..sources.tables import (
     AUDIT_SQL, JOBS_SQL, SNAPSHOT_SQL, T0, audit_view, jobs_view, payload_view, registry_sql, registry_view, snapshot_view,
 )
-from ..streaming.replay_stream import run_replay
+from ..streaming.replay_stream import replay_slices
 from ..streaming.sinks import stats_frames
 from .register import Query, register_into
 from .replay import replay_outcomes, replay_state
@@ -749,14 +749,8 @@ def op_replay_state(spark, sf_dir):
 
 @query()
 def op_replay_stream(spark, sf_dir):
-    """The same outcomes by a stream over the log in four ordered files."""
-    root = shared_path(spark, "replay-stream")
-    ops = written(sample_ops(spark, sf_dir), "ops")
-    cuts = ops.stat.approxQuantile("now_ms", [0.25, 0.5, 0.75], 0.01)
-    for lo, hi in zip([float("-inf"), *cuts], [*cuts, float("inf")]):
-        ops.where((F.col("now_ms") >= lo) & (F.col("now_ms") < hi)).coalesce(1).write.mode("append").parquet(f"{root}/log")
-        run_replay(spark, f"{root}/log", f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out")
+    """The same outcomes by a stream over the log in ordered slices, four at least."""
+    return replay_slices(written(sample_ops(spark, sf_dir), "ops"), shared_path(spark, "replay-stream"))
 
 
 def queries() -> dict[str, Query]:

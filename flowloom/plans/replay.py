@@ -30,6 +30,7 @@ from ..sources.tables import OP_KINDS
 
 OUTCOME = "seq bigint, idx int, kind string, status string, queue string, job_id string, attempt bigint, value bigint, reason string"
 STATE = "tbl string, queue string, job_id string, key string, at_ms bigint, attempt bigint, priority int, max_attempts bigint, reason string, body string"
+ROUTED = "component string, seq bigint, pos int, now_ms bigint, kind string, body string"
 #: Distinct couplings of queues up to which components are worked out on the driver; beyond, by joins.
 MOST_COUPLINGS = 100_000
 #: 40 bytes each.
@@ -205,8 +206,8 @@ def components(ops: DataFrame) -> dict[str, str] | DataFrame | None:
     return {q: find(q) for q in root}
 
 
-def _routed(ops: DataFrame) -> tuple[DataFrame, tuple | None]:
-    """(packed ops, one row for each component that needs to see them, with the component; sweeps that are not among them)."""
+def _routed(ops: DataFrame, apart: bool = True) -> tuple[DataFrame, tuple | None]:
+    """(packed ops, one row for each component that needs to see them, with the component; sweeps that are not among them, if they may be apart)."""
     one = components(ops)
     if one is None:
         return packed(ops.where("kind <> 'audit_append'")).withColumn("component", F.lit(ALL)), None
@@ -230,7 +231,7 @@ def _routed(ops: DataFrame) -> tuple[DataFrame, tuple | None]:
     by_job = leases.join(born, F.col("asked_id") == F.col("born_id"), "left").withColumn("queue", F.coalesce("queue", F.lit("")))
     by_job = homed(by_job).drop("asked_id", "born_id", "queue")
     single = by_queue.unionByName(by_job).unionByName(enqueues)
-    sweeps = _sweeps(ops)
+    sweeps = _sweeps(ops) if apart else None
     if sweeps is not None:
         return single, sweeps
     # Dealt by component over a join that names no key but one: rows of sweeps are the large side.
@@ -263,13 +264,23 @@ def replay_state(ops: DataFrame) -> DataFrame:
     return _state(ops, *_routed(ops))
 
 
+def routed_log(ops: DataFrame) -> DataFrame:
+    """The log as a stream by component takes it: ops and sweeps as rows of each component that meets them."""
+    return _routed(ops, apart=False)[0].select(*[c.split()[0] for c in ROUTED.split(", ")])
+
+
+def restored(outcomes: DataFrame, ops: DataFrame) -> DataFrame:
+    """Outcomes of all components of a log, its sweeps whole and its audit records among them."""
+    return with_audits(_restored(outcomes, ops), ops)
+
+
 def _numbered(ops: DataFrame) -> DataFrame:
     return audit_numbers(ops.where("kind = 'audit_append'").select(F.col("seq").alias("op_seq"), "now_ms", "audit_append"), "op_seq")
 
 
 def _outcomes(ops: DataFrame, routed: DataFrame, sweeps: tuple | None) -> DataFrame:
     # Written, as they are read for each of the parts below.
-    return with_audits(_restored(written(_folded(routed, sweeps), "outcomes"), ops), ops)
+    return restored(written(_folded(routed, sweeps), "outcomes"), ops)
 
 
 def with_audits(outcomes: DataFrame, ops: DataFrame) -> DataFrame:

@@ -135,3 +135,20 @@ def test_state_comes_in_batches_without_outcomes(monkeypatch):
     assert len(found) > 1 and max(b.num_rows for b in found) == 10
     want = [r["table"] for r in expected(ops)[1].rows()]
     assert [r["tbl"] for b in found for r in b.to_pylist()] == want
+
+
+def test_stream_by_component_equals_fold(spark, tmp_path):
+    from flowloom.streaming.replay_stream import replay_slices
+
+    ops = random_ops(9, 160)
+    for op in ops:
+        if op["kind"] == "reserve":
+            op["body"]["queues"] = op["body"]["queues"][:1]
+        if op["kind"] == "enqueue_atomic":
+            for p in op["body"]["jobs"]:
+                p["request"]["queue"] = "alpha"
+    df = frame_of(spark, ops).cache()
+    assert components(df) == {}
+    assert got(replay_slices(df, str(tmp_path))) == expected(ops)[0]
+    # Slices are in order; keys are components, so no task folds all queues.
+    assert spark.read.parquet(str(tmp_path / "log")).select("component").distinct().count() > 1
