@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .bytetext import SPACED, U64, Words, slices
 from .language_id import held_out
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, forget_shuffles, small_batches
 
 THEMES, SAMPLE, BUCKETS = 8, 2000, 2048
 THEME_STEPS = 2
@@ -569,6 +569,9 @@ class Fitted:
                 seen[cuts[piece] : cuts[piece + 1]] += np.frombuffer(n)
             self.parameters = self.parameters + change / np.maximum(seen, 1)
             shared.unpersist()
+            # Else the disk holds the texts and parameters of all rounds until the driver happens to collect its garbage.
+            del flat, sums
+            forget_shuffles(spark)
 
 
 def _learned_from(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -8,6 +8,7 @@ lost later costs a reread, never a recomputation of everything before.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -82,3 +83,9 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound an Arrow batch of whole texts; the default of 10,000 rows is for narrow tables."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
